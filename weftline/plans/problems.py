@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.changefeed import apply_changes
 from weftline.operators.hierarchy import descendants, symbol_hierarchy
+from weftline.operators.loglines import log_entries, markers
 from weftline.session import table
 
 
@@ -36,4 +37,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return apply_changes(table(spark, d, "wal_entries"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p3_found)}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of all logs with their first and last line, time, level and component."""
+    return log_entries(table(spark, d, "log_lines")).select("log_name", "line_no", "last_line", "ts_ms", "level", "component")
+
+
+def p4_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Entries with their message."""
+    return log_entries(table(spark, d, "log_lines"))
+
+
+def p4_markers(spark: SparkSession, d: str) -> DataFrame:
+    """Phase markers with phase, status and payload."""
+    return markers(log_entries(table(spark, d, "log_lines")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p3_found, p4_found, p4_entries, p4_markers)}
