@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.llm.cooccurrence import co_change
 from weftline.llm.encode import encode_corpus
 from weftline.llm.packing import document_sizes, pack
+from weftline.llm.spam import spam
 from weftline.session import table
 
 
@@ -37,5 +38,10 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return placed.select(F.col("key").alias("doc_id"), "part", "container", "start", "tokens", "loss")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_pairs, p7_ids, p8_containers)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of keywords, links or tags."""
+    return spam(table(spark, d, "documents")).where("kind is not null").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_pairs, p7_ids, p8_containers, p9_found)}
 SQL: dict[str, str] = {}
