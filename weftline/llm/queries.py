@@ -9,9 +9,24 @@ from weftline.llm.cooccurrence import co_change
 from weftline.llm.encode import encode_corpus
 from weftline.llm.packing import document_sizes, pack
 from weftline.llm.spam import spam
+from weftline.llm.syntax import checked_files, fault_rates
 from weftline.session import table
 
 
+def _checked(spark: SparkSession, d: str) -> DataFrame:
+    return checked_files(table(spark, d, "files"), table(spark, d, "file_contents"), table(spark, d, "lang_map"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files whose text isn't valid in the language of their extension."""
+    return _checked(spark, d).where("fault is not null").select("file_id")
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Invalid files per repository and language."""
+    return fault_rates(_checked(spark, d))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of files changed together at least 5 times and at least 3 times as often as expected."""
     pairs = co_change(table(spark, d, "commit_files"), table(spark, d, "commits"), min_count=5, min_lift=3.0)
@@ -43,5 +58,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spam(table(spark, d, "documents")).where("kind is not null").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_pairs, p7_ids, p8_containers, p9_found)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_rates, p6_found, p6_pairs, p7_ids, p8_containers, p9_found)}
 SQL: dict[str, str] = {}
