@@ -7,12 +7,23 @@ from pyspark.sql import functions as F
 
 from weftline.llm.cooccurrence import co_change
 from weftline.llm.encode import encode_corpus
+from weftline.llm.funcdocs import code_description_pairs
 from weftline.llm.packing import document_sizes, pack
 from weftline.llm.spam import spam
 from weftline.llm.syntax import checked_files, fault_rates
 from weftline.session import table
 
 
+def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Code and description of every function whose documentation says something."""
+    return code_description_pairs(table(spark, d, "symbols"), table(spark, d, "files"), table(spark, d, "file_contents"), table(spark, d, "lang_map"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The symbols of those pairs."""
+    return p2_pairs(spark, d).select("id")
+
+
 def _checked(spark: SparkSession, d: str) -> DataFrame:
     return checked_files(table(spark, d, "files"), table(spark, d, "file_contents"), table(spark, d, "lang_map"))
 
@@ -58,5 +69,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spam(table(spark, d, "documents")).where("kind is not null").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_rates, p6_found, p6_pairs, p7_ids, p8_containers, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p5_found, p5_rates, p6_found, p6_pairs, p7_ids, p8_containers, p9_found)}
 SQL: dict[str, str] = {}
