@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import cut, drop
+from weftline.session import cut
 
 #: Expected items in a chunk; a pair of chunks yields at most its square.
 CHUNK = 256
@@ -36,37 +36,46 @@ def cooccurrence(pairs: DataFrame, baskets: DataFrame, min_count: int = 1, min_l
     anything, ``lift`` is ``n_ab * n / (n_a * n_b)`` and ``pmi`` its binary logarithm.  Returned are the pairs
     with ``n_ab >= min_count`` and ``n_ab * n >= min_lift * n_a * n_b``.
 
-    Both bounds are also applied to single items before pairs are made, which changes no result: ``n_ab`` is
-    at most ``n_a``, and a pair can only reach ``min_lift`` if ``min_lift * n_a <= n``.
+    Items too frequent to reach ``min_lift`` with any partner (``min_lift * n_a > n``) are taken out before
+    pairs are made, which changes no result.  A scope has at most ``min_lift`` times its mean basket size of them.
     """
     pairs = pairs.select("basket", "item").where("basket is not null and item is not null")
     baskets = baskets.select("basket", "scope").where("basket is not null and scope is not null").distinct()
-    # Row counts bound the basket sizes; only baskets beyond a chunk get an entry.
-    large = pairs.groupBy("basket").agg(F.count("*").alias("rows")).where(F.col("rows") > chunk)
-    large = cut(large.select("basket", F.ceil(F.col("rows") / chunk).cast("int").alias("chunks")))
+    # Row counts bound the basket sizes; only baskets beyond a chunk get an entry.  They are counted by a hash,
+    # as a collision could only make a basket seem large, which is harmless.
+    code = F.xxhash64("basket").alias("code")
+    large = pairs.groupBy(code).agg(F.count("*").alias("rows")).where(F.col("rows") > chunk)
+    large = cut(large.select("code", F.ceil(F.col("rows") / chunk).cast("int").alias("chunks")))
     n_chunks = F.coalesce("chunks", F.lit(1))
-    left = pairs.join(large, "basket", "left_outer").select("basket", "item", F.pmod(F.xxhash64("item"), n_chunks).cast("int").alias("chunk"))
-    right = baskets.join(large, "basket", "left_outer").select("basket", "scope", F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("chunk"))
-    held = left.join(right, ["basket", "chunk"]).groupBy("basket", "chunk", "scope").agg(F.collect_set("item").alias("items"))
-    held = cut(held)
-
-    sizes = held.groupBy("scope").agg(F.count_distinct("basket").alias("n"))
+    left = pairs.withColumn("code", code).join(large, "code", "left_outer").select("basket", "item", F.pmod(F.xxhash64("item"), n_chunks).cast("int").alias("chunk"))
+    right = baskets.withColumn("code", code).join(large, "code", "left_outer")
+    right = right.select("basket", "scope", n_chunks.alias("chunks"), F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("chunk"))
+    held = left.join(right, ["basket", "chunk"]).groupBy("basket", "chunk", "scope", "chunks").agg(F.collect_set("item").alias("items"))
+    # Baskets of one chunk aren't needed by name any more.
+    held = cut(held.select(F.when(F.col("chunks") > 1, F.col("basket")).alias("basket"), "chunk", "scope", "items"))
+
+    sizes = held.groupBy("scope").agg((F.count(F.when(F.col("basket").isNull(), 1)) + F.count_distinct("basket")).alias("n"))
     single = held.select("scope", F.explode("items").alias("item")).groupBy("scope", "item").agg(F.count("*").alias("n_item"))
-    known = single.join(sizes, "scope").where((F.col("n_item") >= min_count) & (F.col("n_item") * F.lit(float(min_lift)) <= F.col("n")))
-    # Dense ids that follow the order of the names within a scope aren't needed: pairs are put in order at the end.
-    items = cut(known.select("scope", "item", "n_item", "n", F.monotonically_increasing_id().alias("i")))
-
-    flat = held.select("basket", "chunk", "scope", F.explode("items").alias("item"))
-    coded = flat.join(items.select("scope", "item", "i"), ["scope", "item"]).groupBy("basket", "chunk", "scope").agg(F.sort_array(F.collect_list("i")).alias("c"))
-    many = large.select(F.col("basket").alias("big"))
-    coded = coded.join(many, F.col("basket") == F.col("big"), "left_outer")
+    items = cut(single.join(sizes, "scope").select("scope", "item", "n_item", "n"))
+    for seed in range(64):
+        # Items are coded by a hash that is checked to be different for each.
+        number = F.xxhash64(F.lit(seed), F.col("scope"), F.col("item"))
+        same = items.agg((F.count("*") - F.count_distinct(number)).alias("d")).first()["d"]
+        if not same:
+            break
+    else:
+        raise RuntimeError("no hash tells the items apart")
+    items = items.withColumn("i", number)
+    hot = items.where(F.col("n_item") * F.lit(float(min_lift)) > F.col("n")).groupBy("scope").agg(F.collect_list("i").alias("hot"))
+    coded = held.select("basket", "chunk", "scope", F.transform("items", lambda x: F.xxhash64(F.lit(seed), F.col("scope"), x)).alias("c"))
+    coded = coded.where("size(c) > 1 or basket is not null").join(hot, "scope", "left_outer")
+    coded = coded.select("basket", "chunk", "scope", F.sort_array(F.when(F.col("hot").isNull(), F.col("c")).otherwise(F.array_except("c", "hot"))).alias("c"))
     rest = F.slice("c", F.col("k") + 2, F.size("c"))
     within = coded.where("size(c) > 1").select("c", F.posexplode("c").alias("k", "a")).select("a", F.explode(rest).alias("b"))
-    chunks = coded.where("big is not null").select("basket", "scope", "chunk", "c")
+    chunks = coded.where("basket is not null")
     other = chunks.select("basket", "scope", F.col("chunk").alias("chunk2"), F.col("c").alias("c2"))
-    across = chunks.join(other, ["basket", "scope"]).where("chunk < chunk2").select(
-        "c2", F.explode("c").alias("x")
-    ).select("x", F.explode("c2").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    across = chunks.join(other, ["basket", "scope"]).where("chunk < chunk2").select("c2", F.explode("c").alias("x"))
+    across = across.select("x", F.explode("c2").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     counted = within.unionByName(across).groupBy("a", "b").agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= min_count)
     first = items.select(F.col("i").alias("a"), "scope", "n", F.col("item").alias("x"), F.col("n_item").alias("n_x"))
     second = items.select(F.col("i").alias("b"), F.col("item").alias("y"), F.col("n_item").alias("n_y"))
