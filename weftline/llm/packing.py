@@ -97,8 +97,8 @@ def pack(sizes: DataFrame, capacity: int = 2048, max_segments: int = 64, max_los
     max_loss = capacity if max_loss is None else max_loss
     if min(capacity, max_segments, max_loss) < 1:
         raise ValueError("every limit must be at least 1")
-    n = F.coalesce("tokens", F.lit(0))
-    loss = F.least(n, F.coalesce("loss", F.lit(0)))
+    n = F.coalesce(F.col("tokens").cast("long"), F.lit(0))
+    loss = F.least(n, F.coalesce(F.col("loss").cast("long"), F.lit(0)))
     # Tokens of a full piece: as many as fit, so that neither limit is exceeded after even spreading.
     full = F.when((loss == 0) | (loss * capacity <= n * F.lit(max_loss)), F.lit(capacity)).otherwise(F.greatest(F.lit(1), F.floor(n * F.lit(max_loss) / loss).cast("int")))
     items = sizes.select(F.col("key").cast("long").alias("key"), n.alias("n"), loss.alias("l"), full.alias("full"))
