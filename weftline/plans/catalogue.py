@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.plans import problems
+from weftline.plans import code_index, problems
 
-QUERIES = problems.QUERIES
-SQL: dict[str, str] = {}
+QUERIES = problems.QUERIES | code_index.QUERIES
+SQL: dict[str, str] = problems.SQL | code_index.SQL
