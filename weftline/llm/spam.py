@@ -36,7 +36,8 @@ _HAN_FUNCTION = re.compile("|".join(sorted(_WORDS["zh"], key=len, reverse=True))
 _LINK = re.compile(r"<a\s[^>]*>.*?</a\s*>|!?\[[^\]\n]*\]\((?:https?://|www\.)[^)\s]*\)|\bhttps?://[^\s<>\"')]+|\bwww\.[^\s<>\"')]+", re.S | re.I)
 _TAGS = re.compile(r"</?[a-zA-Z][^<>\n]*>")
 _HASH = re.compile(r"(?<!\S)#\w+")
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+#: Words, ends of sentences and ends of lines.
+_PARTS = re.compile(r"[^\W\d_]+|[.!?。？！]+(?=[\s\"'”’)\]*]|$)|\n")
 _HAN = re.compile(r"[㐀-鿿]")
 _SEGMENT = re.compile(r"[\n\r\t,;|/•·>→»«›–—\[\](){}#:、，；|]+|\s[-*]\s|\s{2,}")
 _SEPARATOR = re.compile(r"[,;|/•·>→»›–—#、，；]")
@@ -68,7 +69,11 @@ MEASURES = (
 
 
 def measure(text: str | None) -> tuple:
-    """The measures of one text, in the order of ``MEASURES`` without the key. Null and empty texts have zeros."""
+    """The measures of one text, in the order of ``MEASURES`` without the key. Null and empty texts have zeros.
+
+    Where half of the words or more stand in sentences, which settles the matter, the measures that only tell
+    kinds of spam apart are null.
+    """
     if not text or not text.strip():
         return ("", 0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
     solid = len(text) - sum(map(text.count, " \n\r\t"))
@@ -84,47 +89,59 @@ def measure(text: str | None) -> tuple:
             link_chars += len(rest) - len(bare)
         rest = bare if n_links else rest
     lower = rest.lower()
-    words = _WORD.findall(lower)
+    parts = _PARTS.findall(lower)
+    counts = Counter(parts)
+    ends = [w for w in counts if not w[0].isalpha()]
+    n = len(parts) - sum(counts.pop(w) for w in ends)
     han = len(_HAN.findall(lower)) if not text.isascii() else 0
-    counts = Counter(words)
-    hits = {lang: sum(counts[w] for w in fw if w in counts) for lang, fw in _LATIN.items()}
+    hits = {lang: sum(counts[w] for w in counts.keys() & fw) for lang, fw in _LATIN.items()}
     language = max(hits, key=lambda k: (hits[k], k == "en"))
     if han * 4 > solid - link_chars and han:
         language = "zh"
-        words = _HAN.findall(lower) if len(words) * 3 < han else words
+        if n * 3 < han:
+            counts = Counter(_HAN.findall(lower))
+            n = han
         function = sum(len(m) for m in _HAN_FUNCTION.findall(lower)) / max(1, han)
     else:
-        function = hits[language] / max(1, len(words))
+        function = hits[language] / max(1, n)
         if hits[language] == 0:
             language = "und"
-    n = len(words)
+    link_ratio = min(1.0, link_chars / solid)
     if not n:
-        return (language, 0, n_links, min(1.0, link_chars / solid), 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
-    tags = sum(len(t) for t in _HASH.findall(rest)) if "#" in rest else 0
-    fw = _WORDS.get(language, ())
+        return (language, 0, n_links, link_ratio, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
+    fw = _WORDS.get(language, frozenset())
+    spoken = 0
+    if language == "zh":
+        for m in _SENTENCE.finditer(rest):
+            h = len(_HAN.findall(m.group()))
+            if h >= 6 and _HAN_FUNCTION.search(m.group()):
+                spoken += h
+        sentences = min(1.0, spoken / han)
+    else:
+        run = known = 0
+        for w in parts:
+            if w[0].isalpha():
+                run += 1
+                known += w in fw
+            else:
+                if w != "\n" and run >= 5 and known * 8 >= run:
+                    spoken += run
+                run = known = 0
+        sentences = spoken / n
     # The share of words that repeat an earlier one: next to 1 only where a small vocabulary goes round.
-    top = 1 - len(set(words)) / n
+    top = 1 - len(counts) / n
+    if sentences >= 0.5:
+        return (language, n, n_links, link_ratio, None, function, top, None, None, None, sentences, None, None)
+    tags = sum(len(t) for t in _HASH.findall(rest)) if "#" in rest else 0
     segments = [s for s in (x.strip(" \"'`*.!?") for x in _SEGMENT.split(lower)) if s]
     known = Counter(segments)
     repeated = sum(c for c in known.values() if c > 1) / max(1, len(segments))
     lines = [x for x in (y.strip() for y in rest.splitlines()) if x]
     duplicate = 1 - len(set(lines)) / len(lines) if lines else 0.0
     separators = len(_SEPARATOR.findall(rest)) / n
-    spoken = 0
-    for m in _SENTENCE.finditer(rest):
-        part = m.group()
-        if language == "zh":
-            h = len(_HAN.findall(part))
-            if h >= 6 and _HAN_FUNCTION.search(part):
-                spoken += h
-        else:
-            inside = _WORD.findall(part.lower())
-            if len(inside) >= 5 and sum(w in fw for w in inside) * 8 >= len(inside):
-                spoken += len(inside)
-    base = han if language == "zh" else n
     matter = sum(len(x) for x in lines if _MATTER.match(x)) / max(1, sum(map(len, lines)))
     code = sum(map(rest.count, "(){}=;$\"")) / max(1, solid - link_chars)
-    return (language, n, n_links, min(1.0, link_chars / solid), min(1.0, tags / max(1, solid - link_chars)), function, top, repeated, duplicate, separators, min(1.0, spoken / max(1, base)), matter, code)
+    return (language, n, n_links, link_ratio, min(1.0, tags / max(1, solid - link_chars)), function, top, repeated, duplicate, separators, sentences, matter, code)
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
