@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from weftline.plans import code_index, problems
+from weftline.plans import code_index, documents, history, problems
 
-QUERIES = problems.QUERIES | code_index.QUERIES
-SQL: dict[str, str] = problems.SQL | code_index.SQL
+_PARTS = (problems, code_index, history, documents)
+QUERIES = {k: f for m in _PARTS for k, f in m.QUERIES.items()}
+SQL: dict[str, str] = {k: s for m in _PARTS for k, s in m.SQL.items()}
