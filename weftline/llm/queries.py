@@ -70,4 +70,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p5_found, p5_rates, p6_found, p6_pairs, p7_ids, p8_containers, p9_found)}
-SQL: dict[str, str] = {}
+_HELD = r"""with k as (select distinct lower(trim(sha)) as sha, repo from commits where sha is not null and repo is not null),
+h as (select distinct k.repo, k.sha, regexp_replace(regexp_replace(replace(trim(regexp_replace(trim(file_path), '^"|"$', '', 'g')), '\', '/'), '/{2,}', '/', 'g'), '^(\./)+', '') as f
+  from commit_files join k on lower(trim(commit_sha)) = k.sha where file_path is not null),
+n as (select repo, count(distinct sha) as n from h group by 1), s as (select repo, f, count(*) as c from h group by 1, 2),
+p as (select x.repo, x.f as file_a, y.f as file_b, count(*) as n_ab from h x join h y on x.repo = y.repo and x.sha = y.sha and x.f < y.f group by 1, 2, 3),
+q as (select p.*, a.c as n_a, b.c as n_b, n.n from p join s a on a.repo = p.repo and a.f = file_a join s b on b.repo = p.repo and b.f = file_b join n on n.repo = p.repo)"""
+SQL: dict[str, str] = {
+    "p6_found": _HELD + " select repo, file_a, file_b from q where n_ab >= 5 and n_ab * n >= 3 * n_a * n_b",
+    "p6_pairs": _HELD + " select repo, file_a, file_b, n_ab, n_a, n_b, n, round(n_ab * n / (n_a * n_b), 6) as lift, round(log2(n_ab * n / (n_a * n_b)), 6) as pmi from q where n_ab >= 2",
+}
