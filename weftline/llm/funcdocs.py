@@ -135,7 +135,7 @@ def source_functions(text: str | None, language: str | None) -> list[tuple[str,
 # Grammar of documentation
 # ---------------------------------------------------------------------------------------------------------
 
-_MARGIN = r"[ \t]*(?:/\*\*?!?|\*/|\*(?!\*)|//[/!]?|\#+(?![a-z])!?|--|;;+|\"{3}|'{3})*[ \t]*"
+_MARGIN = r"[ \t]*(?:/\*\*?!?|\*/|\*(?!\*)|//[/!]?|\#+(?![a-z])!?|\"{3}|'{3})*[ \t]*"
 _END = r"[ \t]*(?:\*/|\"{3}|'{3})?[ \t]*(?=\n|$)"
 # Words that mark notes, directives to tools, and statements about authorship, licence or version.
 _NOTE = r"(?:TODO|FIXME|XXX|xxx|HACK|NOTE TO SELF|TBD|WIP|todo|fixme|ToDo|Todo)\b"
@@ -158,8 +158,8 @@ DOC_RULES: dict[str, Expression] = {
     "tag": seq(pat(_TAG), pat(r"[ \t]*"), alt(pat(r"\{[^}\n]*\}[ \t]*"), pat("")), pat(r"(?P<tag>[^\n]*)"), pat(r"\n|$")),
     "code": seq(
         pat(
-            r"(?:(?:signature|usage|example|prototype)\s*:?\s+)?(?:(?:async\s+)?(?:function|def|func|fn|pub fn|class|interface|struct)\s+[\w(*][^\n]*|(?:if|for|while|switch)\s*\([^\n]*|(?:return|const|let|var|import|from|raise|throw)\b[^\n]*[;()={}][^\n]*|"
-            r"[\w.$]+\s*\([^()\n]*\)\s*[;{]?|[\w.$\[\]]+\s*(?:=|:=|\+=|==)\s*[^\n]+|[^\n]*[;{}]|<[^>\n]+>[^\n]*|>>>[^\n]*|\$ [^\n]*)"
+            r"(?:(?:signature|usage|example|prototype)\s*:?\s+)?(?:(?:(?:pub|async|export|static|public|private|protected|final|abstract)\s+)*(?:function|def|func|fn|class|interface|struct)\s+[\w(*][^\n]*|return\s+[\w.]+|(?:if|for|while|switch)\s*\([^\n]*|(?:return|const|let|var|import|from|raise|throw)\b[^\n]*[;()={}][^\n]*|"
+            r"[\w.$]+\s*\([^()\n]*\)(?:\s*(?:->|:)\s*[\w\[\], .|<>]+)?\s*[;{]?|[\w.$\[\]]+\s*(?:=|:=|\+=|==)\s*[^\n]+|[^\n]*[;{}]|<[^>\n]+>[^\n]*|>>>[^\n]*|\$ [^\n]*)"
             + _END, re.I,
         ),
         pat(r"\n|$"),
@@ -177,7 +177,7 @@ FILLER = frozenset(
     description describe describes summary docstring docstrings doc docs documentation document documented undocumented comment comments missing add please some before next release available none null undefined nil void empty placeholder
     write written generated generate generates auto automatically template filled fill yet been stub default todo tbd fixme wip see also parent above same internal main current new simple basic following
     signature usage example none n/a na string int integer number boolean bool float list dict map array self cls error exception errors exceptions n javadoc non
-    section region internals internal public private helper boilerplate ditto idem etc thing things stuff something
+    section region internals internal inherited inherit public private helper boilerplate ditto idem etc thing things stuff something
     der die das ein eine einen und oder zu für von mit methode funktion gibt zurück ergebnis""".split()
 )
 _PLACEHOLDER = re.compile(
@@ -187,7 +187,7 @@ _PLACEHOLDER = re.compile(
 )
 #: A bare reference says nothing, but what follows it may.
 _SEE = re.compile(r"^see (?:also |the )*(?:parent|super|base|above|interface)?(?: \w+)?$|^see (?:also )?[`\w.(){}]+$", re.I)
-_WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+(?:\.\d+)?")
+_WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|(?<!\w)\d+(?:\.\d+)?")
 _SPLIT = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[^\W\d_]+")
 
 
