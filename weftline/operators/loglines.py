@@ -94,7 +94,10 @@ def _objects(parts: DataFrame, fields: list[str]) -> DataFrame:
 def markers(entries: DataFrame) -> DataFrame:
     """Phase markers among the entries: ``(log_name, line_no, ts_ms, phase_id, status, payload)``."""
     pairs = F.filter(F.split("message", r"\s+"), lambda x: x.contains("="))
-    payload = F.map_from_entries(F.array_distinct(F.transform(pairs, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.regexp_replace(x, r"^[^=]*=", "").alias("v")))))
+    key = lambda x: F.substring_index(x, "=", 1)
+    # Of a repeated key the last value counts.
+    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: key(y) == key(x)))
+    payload = F.map_from_entries(F.transform(last, lambda x: F.struct(key(x).alias("k"), F.regexp_replace(x, r"^[^=]*=", "").alias("v"))))
     return entries.where(F.col("component").startswith("PHASE_")).select(
         "log_name", "line_no", "ts_ms", F.substring("component", 7, 100).alias("phase_id"), F.col("level").alias("status"), payload.alias("payload")
     )
