@@ -176,7 +176,8 @@ def classify(measures: DataFrame, usual: DataFrame) -> DataFrame:
     """
     m = measures.join(F.broadcast(usual), "language", "left_outer")
     function = F.col("function_share") / F.coalesce("usual_function", F.lit(0.4))
-    silent = F.col("sentence_share") < 0.25
+    # Where a handful of words goes round, cries that end like sentences count for less.
+    silent = (F.col("sentence_share") < 0.25) | ((F.col("sentence_share") < 0.5) & (F.col("top_share") >= 0.75))
     other = (F.col("matter_share") >= 0.3) | (F.col("code_density") >= 0.012)
     links = (F.col("n_links") >= 3) & (F.col("link_ratio") >= 0.5) & silent
     tags = (F.col("tag_ratio") >= 0.5) & (F.col("n_words") >= 5) & silent
