@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from weftline.session import cut, drop
 
 #: Levels that the successive rounds look ahead; the last value repeats.
-WIDTHS = (1, 1, 2, 4, 8, 16)
+WIDTHS = (1, 2, 6, 24)
 
 
 def resolve_parents(df: DataFrame, id_col: str, parent_col: str, group_col: str | None = None, key=None, prefix=None) -> DataFrame:
