@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from weftline.operators.changefeed import apply_changes
+from weftline.operators.changefeed import apply_changes, publish_changes
 from weftline.sources.snapshots import SnapshotStore
 
 S = "repo string, id string, ts string, op string, args struct<path string, content_hash_before string>, prev_user_version int, content_sha string, ack boolean, extra int"
@@ -103,3 +103,10 @@ def test_snapshots_are_published_at_once(spark, tmp_path):
     assert store.read("a").count() == 5 and store.read("a", 1).count() == 3 and store.read("b").count() == 1
     store.publish({"a": spark.range(1)})
     assert store.versions() == [2, 3]
+
+
+def test_changes_are_published_together(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "feed"))
+    assert publish_changes(spark.createDataFrame([entry("a", 1, "x"), entry("b", 1, "y")], S), store) == 1
+    assert publish_changes(spark.createDataFrame([entry("a", 1, "x"), entry("a", 2, None, "delete")], S), store) == 2
+    assert store.read("files").count() == 0 and sorted(r.path for r in store.read("files", 1).collect()) == ["a", "b"]

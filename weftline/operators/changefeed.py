@@ -126,3 +126,11 @@ def apply_changes(feed: DataFrame, tombstones: bool = False) -> DataFrame:
     if tombstones:
         return state.select("repo", "path", F.col("sha").alias("content_sha"), F.col("dead").alias("deleted"), F.col("v").alias("version"))
     return state.where("not dead").select("repo", "path", F.col("sha").alias("content_sha"))
+
+
+def publish_changes(feed: DataFrame, store, relation: str = "files") -> int:
+    """Apply the feed and publish the files that exist as the next version of a ``SnapshotStore``; returns the version.
+
+    All buckets are written beside the current version and become visible together, by one rename.
+    """
+    return store.publish({relation: apply_changes(feed)})

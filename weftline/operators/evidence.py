@@ -67,10 +67,11 @@ def correlate(markers: DataFrame, phases: DataFrame, calls: DataFrame | None = N
     the status is ``absent``.  ``warning`` is ``no_marker``, ``skipped_without_reason`` or, if ``calls(log_name,
     name)`` are given and a done phase left too few, ``no_evidence``.
     """
-    logs = markers.select("log_name").distinct()
-    required = F.broadcast(phases.where("required").select("phase_id"))
+    # The phases are a fixed short list; every log gets each of them.
+    required = phases.where("required").agg(F.collect_set("phase_id")).scalar()
+    logs = markers.select("log_name").distinct().withColumn("phase_id", F.explode(required))
     last = markers.groupBy("log_name", "phase_id").agg(F.max_by(F.struct("status", "payload"), "line_no").alias("m"))
-    out = logs.crossJoin(required).join(last, ["log_name", "phase_id"], "left_outer")
+    out = logs.join(last, ["log_name", "phase_id"], "left_outer")
     status = F.coalesce("m.status", F.lit("absent"))
     bare = (status == "SKIPPED") & F.coalesce(F.element_at("m.payload", "reason"), F.lit("")).isin("")
     warning = F.when(status == "absent", "no_marker").when(bare, "skipped_without_reason")

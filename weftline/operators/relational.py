@@ -84,9 +84,9 @@ def owners(ownership: DataFrame, files: DataFrame, path: str) -> DataFrame:
     """``(author, line_count, percentage)`` of a file, or of a directory if ``path`` ends with a slash."""
     chosen = files.where(F.col("path").startswith(path) if path.endswith("/") else F.col("path") == path).select(F.col("id").alias("file_id"))
     sums = ownership.join(chosen, "file_id", "left_semi").groupBy("author").agg(F.sum("line_count").alias("line_count"))
-    # One total, joined back, instead of a window over everything in one task.
-    total = sums.agg(F.sum("line_count").alias("total"))
-    return sums.crossJoin(F.broadcast(total)).select("author", "line_count", F.when(F.col("total") > 0, F.col("line_count") / F.col("total") * 100).otherwise(0.0).alias("percentage"))
+    # The total is a scalar subquery, instead of a window over everything in one task.
+    total = sums.agg(F.sum("line_count")).scalar()
+    return sums.withColumn("total", total).select("author", "line_count", F.when(F.col("total") > 0, F.col("line_count") / F.col("total") * 100).otherwise(0.0).alias("percentage"))
 
 
 def symbol_history(symbols: DataFrame, files: DataFrame, commits: DataFrame, commit_files: DataFrame, name: str) -> DataFrame:
@@ -131,7 +131,8 @@ def rank_all(df: DataFrame, order: list, name: str) -> DataFrame:
 def status_counts(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """One row with the numbers of files, symbols, resolved and unresolved edges."""
     e = edges.agg(F.count("*").alias("edges"), F.count("dst").alias("resolved")).withColumn("unresolved", F.col("edges") - F.col("resolved"))
-    return files.agg(F.count("*").alias("files")).crossJoin(symbols.agg(F.count("*").alias("symbols"))).crossJoin(e)
+    n = lambda df: df.agg(F.count("*")).scalar()
+    return e.select(n(files).alias("files"), n(symbols).alias("symbols"), "edges", "resolved", "unresolved")
 
 
 def resolve_imports(imports: DataFrame, modules: DataFrame, prefixes: tuple[str, ...] = ("src.", "scripts.", "lib.", "app.")) -> DataFrame:

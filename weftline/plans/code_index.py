@@ -229,7 +229,7 @@ def import_resolve(spark, d) -> DataFrame:
     short = table(spark, d, "nation").select(F.lower(F.replace(F.col("n_name"), F.lit(" "), F.lit("_"))).alias("import")).union(
         table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")))
     ).union(mods.select("module")).union(spark.sql("select 'os'"))
-    imports = mods.select(F.col("module").alias("source")).crossJoin(F.broadcast(short.distinct()))
+    imports = mods.select(F.col("module").alias("source")).withColumn("import", F.explode(short.agg(F.collect_set("import")).scalar()))
     return relational.resolve_imports(imports, mods)
 
 
