@@ -287,3 +287,20 @@ def symbol_diff(spark, d) -> DataFrame:
     old = s.join(f.select(F.col("id").alias("file_id"), F.col("path").alias("file")), "file_id").select("file", "kind", "name", "line", "signature")
     new = old.where("line % 11 <> 0").withColumn("name", F.when(F.col("line") % 7 == 0, F.concat("name", F.lit("_x"))).otherwise(F.col("name")))
     return diff_symbols(old, new.withColumn("signature", F.when(F.col("line") % 5 == 1, F.concat("signature", F.lit(" -> int"))).otherwise(F.col("signature"))))
+
+
+@query()
+def ranked_symbols(spark, d) -> DataFrame:
+    """All symbols in the order of their rank."""
+    from weftline.operators.context import ranked_symbols as ranked
+
+    return ranked(*_v(spark, d, "symbols", "files", "edges"), max_iterations=10)
+
+
+@query()
+def context_pack(spark, d) -> DataFrame:
+    """Files and symbols that documents mention, with their owners and reach."""
+    from weftline.operators.context import context_pack as pack
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return pack(docs, *_v(spark, d, "symbols", "files", "edges", "ownership"))

@@ -300,3 +300,54 @@ def ext_session_window(spark, d) -> DataFrame:
     """Sessions of users by gaps of half an hour (an extension)."""
     rows = table(spark, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
     return rows.select("user_id", F.col("w.start").alias("start"), "n")
+
+
+@query(
+    H
+    + """, r as (select sha, row_number() over (partition by repo order by author_time desc nulls last, sha) k from (select sha, repo, max(epoch(ts)) as author_time from h group by 1, 2)) select sha from r where k <= 500"""
+)
+def newest_commits(spark, d) -> DataFrame:
+    """The five hundred newest commits of each repository, as a cache keeps them."""
+    from weftline.operators.maintain import keep_newest_commits
+
+    c = history(spark, d).withColumn("author_time", F.unix_timestamp("ts"))
+    return keep_newest_commits(c, table(spark, d, "commit_files"), 500)[0].select("sha")
+
+
+@query(H + " select repo, count(path) as total, count(*) filter (ends_with(path, '.py')) as py, count(*) filter (ends_with(path, '.sh')) as sh from h join hf using (sha) group by 1")
+def commit_scope(spark, d) -> DataFrame:
+    """Changed files of each repository by ending."""
+    from weftline.operators.gates import scope_counts
+
+    return scope_counts(history(spark, d).select("sha", "repo").join(history_files(spark, d), "sha"), "repo")
+
+
+@query("select id, count(*) as n from symbols group by 1 having count(*) > 1 or id is null")
+def repeated_ids(spark, d) -> DataFrame:
+    """Symbol ids that occur more than once."""
+    from weftline.operators.maintain import check_keys
+
+    return check_keys(table(spark, d, "symbols").select("id"), ["id"])
+
+
+@query(
+    "with r as (select repo, elapsed_seconds as e, files_indexed as f, python_parse_errors as p from build_stats) select repo as tool, 0 as budget, coalesce(cast(trunc(median(f)) as bigint), 0) as tokens, coalesce(cast(trunc(median(p)) as bigint), 0) as symbols, "
+    "case when trunc(median(p)) > 0 then round(trunc(median(f)) / trunc(median(p)), 1) end as per_symbol, case when count(*) filter (e is null) > 0 then 'skipped' else 'ok' end as status from r group by 1"
+)
+def bench_report(spark, d) -> DataFrame:
+    """Medians of runs per repository, with the worst status."""
+    from weftline.operators.gates import bench_report as report
+
+    runs = table(spark, d, "build_stats").select(
+        F.col("repo").alias("tool"), F.lit(0).alias("budget"), F.col("files_indexed").alias("tokens"), F.col("python_parse_errors").alias("symbols"), F.when(F.col("elapsed_seconds").isNull(), "skipped").otherwise("ok").alias("status")
+    )
+    return report(runs)
+
+
+@query()
+def python_symbols(spark, d) -> DataFrame:
+    """Symbols, calls and imports of all Python sources."""
+    from weftline.sources.python_source import parse_python
+
+    files = table(spark, d, "files").where("path like '%.py'").select(F.col("id").alias("file_id")).distinct()
+    return parse_python(table(spark, d, "file_contents").dropDuplicates(["file_id"]).join(files, "file_id", "left_semi"))
