@@ -59,7 +59,7 @@ def context_pack(docs: DataFrame, symbols: DataFrame, files: DataFrame, edges: D
     out = held.join(sums, "file_id", "left_outer").select("doc_id", F.lit("file").alias("what"), F.col("token").alias("name"), "first", share.alias("detail"))
     named = seen.join(symbols.select(F.col("name").alias("token"), "id"), "token")
     # All mentioned names in one traversal: pairs of a name and what it reaches, level by level.
-    step = edges.where("kind = 'call' and src is not null and dst is not null").select("src", "dst").distinct()
+    step = edges.where("kind = 'call' and src is not null and dst is not null").select("src", "dst")
     at = named.select("token", "id").distinct()
     pairs = at.where("false")
     for _ in range(max_depth):

@@ -18,7 +18,8 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, upstream: bool = F
     ``max_depth`` below 1 counts as 1.  Edges with a null end lead nowhere; no seeds give no rows.
     """
     near, far = ("dst", "src") if upstream else ("src", "dst")
-    step = edges.where("src is not null and dst is not null").select(F.col(near).alias("at"), F.col(far).alias("to")).distinct()
+    # Edges aren't made distinct first: that would shuffle all of them, where only those at the frontier matter.
+    step = edges.where("src is not null and dst is not null").select(F.col(near).alias("at"), F.col(far).alias("to"))
     frontier = seeds.select(F.col("id").alias("at")).distinct()
     seen: DataFrame | None = None
     for depth in range(1, max(1, max_depth) + 1):
@@ -43,7 +44,7 @@ def shortest_path(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_
     frontier = sources.select("id", F.array(F.col("id")).alias("path")).distinct()
     best = lambda df: df.groupBy("id").agg(F.min("path").alias("path"))
     seen = frontier.select("id")
-    step = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
+    step = edges.where("src is not null and dst is not null").select("src", "dst")
     for depth in range(max_depth + 1):
         hit = frontier.join(ends, "id", "left_semi").agg(F.min("path").alias("path")).where("path is not null")
         if depth == max_depth or not hit.isEmpty():
@@ -68,20 +69,26 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter
     links = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     out = links.groupBy("src").agg(F.count("*").alias("deg"))
     links = cut(links.groupBy("src", "dst").agg(F.count("*").alias("w")).join(out, "src").select("src", "dst", (F.col("w") / F.col("deg")).alias("share")))
+    # Partitioned once by the column that every iteration joins on, so only ranks are shuffled; what is lost
+    # with an executor comes again from the written table.
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = links.repartition(parts, "src").persist()
     rank = cut(ids.join(out.select(F.col("src").alias("id"), F.lit(True).alias("linked")), "id", "left_outer").select("id", F.lit(1.0 / n).alias("rank"), F.coalesce("linked", F.lit(False)).alias("linked")))
+    loose = F.coalesce(F.sum(F.when(~F.col("linked"), F.col("rank"))), F.lit(0.0))
+    dangling = rank.agg(loose).first()[0]
     for _ in range(max_iterations):
-        dangling = rank.agg(F.coalesce(F.sum(F.when(~F.col("linked"), F.col("rank"))), F.lit(0.0))).first()[0]
         given = links.join(rank, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("given"))
         base = (1 - damping) / n + damping * dangling / n
         new = cut(
             rank.join(given.withColumnRenamed("dst", "id"), "id", "left_outer")
             .select("id", (F.lit(base) + damping * F.coalesce("given", F.lit(0.0))).alias("rank"), "linked", F.col("rank").alias("old"))
         )
-        delta = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        delta, dangling = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), loose).first()
         drop(rank)
         rank = new
         if delta < eps:
             break
+    links.unpersist()
     total = rank.agg(F.sum("rank")).first()[0]
     return rank.select("id", (F.col("rank") / total).alias("rank"))
 
