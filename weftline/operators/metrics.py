@@ -15,13 +15,25 @@ TYPE_RX = r"^(feat|fix|docs|refactor|test|chore|perf|style|build|ci)(\([^)]*\))?
 def sessions(commits: DataFrame, by: list[str], gap_minutes: int = 45) -> DataFrame:
     """``(by, session, first, last, n, minutes, class)``: commits with gaps of at most ``gap_minutes``.
 
-    Classes: deep from 50 minutes, medium from 20, else micro.
+    Classes: deep from 50 minutes, medium from 20, else micro.  A group may hold a third of all commits, so rows
+    are ordered within days only; one row per day carries the last time and the number of sessions onwards.
     """
-    w = Window.partitionBy(*by).orderBy("ts", "sha")
-    gap = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(w))
-    new = F.when(gap.isNull() | (gap > gap_minutes * 60), 1).otherwise(0)
-    rows = commits.where("ts is not null").withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = rows.groupBy(*by, "session").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
+    rows = commits.where("ts is not null").withColumn("_day", F.to_date("ts"))
+    edge = rows.groupBy(*by, "_day").agg(F.max("ts").alias("_last"))
+    over = Window.partitionBy(*by).orderBy("_day")
+    edge = edge.select(*by, "_day", F.lag("_last").over(over).alias("_carried"))
+    keys = [*by, "_day"]
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    rows = rows.join(edge.select(*named, "_carried"), same, "left_outer").select(*rows.columns, "_carried")
+    inner = Window.partitionBy(*by, "_day").orderBy("ts", "sha")
+    gap = F.unix_timestamp("ts") - F.unix_timestamp(F.coalesce(F.lag("ts").over(inner), F.col("_carried")))
+    rows = rows.withColumn("_new", F.when(gap.isNull() | (gap > gap_minutes * 60), 1).otherwise(0))
+    starts = rows.groupBy(*by, "_day").agg(F.sum("_new").alias("_n"))
+    starts = starts.select(*by, "_day", F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rows = rows.join(starts.select(*named, "_before"), same, "left_outer").select(*rows.columns, "_before")
+    number = F.sum("_new").over(inner.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
+    out = rows.withColumn("session", number).groupBy(*by, "session").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
     minutes = ((F.unix_timestamp("last") - F.unix_timestamp("first")) / 60).cast("long")
     return out.withColumn("minutes", minutes).withColumn("class", F.when(F.col("minutes") >= 50, "deep").when(F.col("minutes") >= 20, "medium").otherwise("micro"))
 

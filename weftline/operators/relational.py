@@ -165,14 +165,19 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return calls.join(named, ["target_file", "callee"], "left_outer").select("src", "dst", F.when(F.col("dst").isNull(), F.col("callee")).alias("unresolved"))
 
 
-def innermost_container(spans: DataFrame) -> DataFrame:
+def innermost_container(spans: DataFrame, width: int = 256) -> DataFrame:
     """``(id, container)``: of every span the innermost other span of its group that contains it and starts before it.
 
     ``spans(id, grp, start, stop, holds)``; only spans with ``holds`` contain others.  The one that starts last,
     then ends first, then has the smallest id counts; null where there is none.
+
+    A container covers the start of what it contains, so containers are listed under every stretch of ``width``
+    that they touch and the join is on group and stretch; a large group isn't compared as a whole.
     """
-    a = spans.select("id", "grp", "start", "stop")
-    b = spans.where("holds").select(F.col("id").alias("cid"), "grp", F.col("start").alias("cs"), F.col("stop").alias("ce"))
-    inside = a.join(b, "grp").where("cs < start and stop <= ce")
+    a = spans.select("id", "grp", "start", "stop", F.floor(F.col("start") / width).alias("bin"))
+    b = spans.where("holds and start <= stop").select(
+        F.col("id").alias("cid"), "grp", F.col("start").alias("cs"), F.col("stop").alias("ce"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("stop") / width))).alias("bin")
+    )
+    inside = a.join(b, ["grp", "bin"]).where("cs < start and stop <= ce")
     best = inside.groupBy("id").agg(F.min(F.struct(-F.col("cs"), "ce", "cid")).alias("b"))
     return a.select("id").join(best, "id", "left_outer").select("id", F.col("b.cid").alias("container"))
