@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.session import cut
+
 #: Lines of a block.
 BLOCK = 4096
 
@@ -51,7 +53,8 @@ def log_entries(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     before the first entry belong to none.  An object spread over several lines starts an entry if its lines
     follow each other up to the closing one and give a time and a level.  An empty table gives no entries.
     """
-    parsed = parse_lines(lines).withColumn("block", F.floor((F.col("line_no") - 1) / block))
+    # Several steps read the parsed lines; they are parsed once and written without their raw text.
+    parsed = cut(parse_lines(lines).withColumn("block", F.floor((F.col("line_no") - 1) / block)))
     fields = ["ts_ms", "level", "component", "message"]
     ends = parsed.groupBy("log_name", "block").agg(F.max("line_no").alias("end"))
     objects = _objects(parsed.where("kind in ('open', 'member', 'close')"), fields)
