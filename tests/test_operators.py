@@ -192,7 +192,7 @@ def test_evidence(spark):
     assert [(r.pos, r.role, r.content) for r in evidence.turns(df).collect()] == [(4, "user", "hi")]
     m = spark.createDataFrame([("l", 1, "1", "INIT", None), ("l", 9, "1", "DONE", {"a": "b"}), ("l", 2, "2", "SKIPPED", None), ("l", 3, "3", "SKIPPED", {"reason": "x"})], "log_name string, line_no long, phase_id string, status string, payload map<string,string>")
     phases = spark.createDataFrame([("1", True), ("2", True), ("3", True), ("4", True), ("0", False)], "phase_id string, required boolean")
-    calls = spark.createDataFrame([("l", "Skill")], "log_name string, name string")
+    calls = spark.createDataFrame([("l", "Skill", "{}"), ("l", "Agent", '{"subagent_type": "Explorer"}')], "log_name string, name string, input string")
     got = {r.phase_id: (r.marker_status, r.warning) for r in evidence.correlate(m, phases, calls).collect()}
     assert got == {"1": ("DONE", "no_evidence"), "2": ("SKIPPED", "skipped_without_reason"), "3": ("SKIPPED", None), "4": ("absent", "no_marker")}
 
@@ -214,3 +214,12 @@ def test_metrics(spark):
     assert [r[0] for r in nums.select(metrics.turn_cap(F.col("n"))).collect()] == [4, 6, 30, None]
     sev = spark.createDataFrame([("x", "critical"), ("x", None), ("y", "low")], "agent string, severity string")
     assert {r.agent: (r.critical, r.high, r.low, r.verdict) for r in metrics.severity_rollup(sev, "agent").collect()} == {"x": (1, 1, 0, "FAIL"), "y": (0, 0, 1, "PASS"), "TOTAL": (1, 1, 1, "FAIL")}
+
+
+def test_phase_evidence(spark):
+    calls = [
+        ("a", "Agent", '{"subagent_type": "Explore"}'), ("a", "AskUserQuestion", None), ("a", "AskUserQuestion", "not json"), ("a", "Read", '{"file_path": 7}'), ("a", "Agent", '{"subagent_type": "x-scribe"}'),
+        ("b", "AskUserQuestion", "{}"), ("b", "AskUserQuestion", "{}"), ("b", "AskUserQuestion", "{}"), ("b", "Read", '{"file_path": "docs/lessons.md"}'), ("b", "mcp__context7__get", None), ("b", "Agent", '{"subagent_type": "x-scribe"}'), ("b", "Agent", '{"subagent_type": "x-validator"}'),
+    ]
+    got = {r.log_name: {k for k, v in r.evidence.items() if v} for r in evidence.phase_evidence(spark.createDataFrame(calls, "log_name string, name string, input string")).collect()}
+    assert got == {"a": {"1", "3"}, "b": {"1.3", "1.5", "3", "5"}}

@@ -5,11 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Per phase the names of calls that are evidence of it, and how many are needed.
+# Per phase the alternatives that are evidence of it. An alternative is a list of rules that must all
+# hold; a rule is a name (a pattern if it starts with ^), patterns of input fields, and how many calls are needed.
 EVIDENCE = {
-    "1": (("Read", "Explore", "Glob"), 1), "1.3": (("AskUserQuestion",), 3), "1.5": (("Bash",), 1), "2": (("Skill",), 1), "3": (("WebFetch", "WebSearch"), 1),
-    "4": (("Write",), 1), "4.2": (("Task", "Agent"), 1), "4.5": (("Task", "Agent"), 1), "5": (("Write", "Edit"), 1),
-}
+    "1": [[("Agent", {"subagent_type": r"^(Explore|general-purpose)$"}, 1)], [("Read", {"file_path": r"^src/"}, 1)]],
+    "1.3": [[("AskUserQuestion", {}, 3)], [("Skill", {"skill": r"grill-(me|with-docs)"}, 1)]],
+    "1.5": [[("Read", {"file_path": r"lessons\.md$"}, 1)], [("Bash", {"command": r"git log .*--grep"}, 1)]],
+    "2": [[("Skill", {"skill": r"brainstorming"}, 1)]],
+    "3": [[("WebFetch", {}, 1)], [("WebSearch", {}, 1)], [("^mcp__.*context7.*", {}, 1)], [("Agent", {"subagent_type": r"^Explore$"}, 1)]],
+    "4": [[("Skill", {"skill": r"complexity-router"}, 1)]],
+    "4.2": [[("Skill", {"skill": r"plan-(ceo|eng|design)-review"}, 1)]],
+    "4.5": [[("Skill", {"skill": r"plan-verification"}, 1)], [("Agent", {"prompt": r"verification|adversarial|6 angles"}, 1)]],
+    "5": [[("Agent", {"subagent_type": r"-scribe$"}, 1), ("Agent", {"subagent_type": r"-validator$"}, 1)]],
+}
+
+
+def _field(name: str):
+    """Column: a field of the call's input; empty if it is missing, null if it isn't text."""
+    value = F.try_variant_get("v", f"$.{name}", "variant")
+    return F.when(value.isNull(), F.lit("")).when(F.schema_of_variant(value) == "STRING", F.try_variant_get("v", f"$.{name}", "string"))
+
+
+def phase_evidence(calls: DataFrame) -> DataFrame:
+    """``(log_name, evidence)``: per log a map of each phase to whether its calls ``(log_name, name, input)`` show it.
+
+    ``input`` is JSON; what isn't counts as an input without fields.  All rules are counted in one aggregation.
+    """
+    def holds(rule) -> object:
+        name, fields, need = rule
+        hit = F.col("name").rlike(name) if name.startswith("^") else F.col("name") == name
+        for field, pattern in fields.items():
+            hit = hit & F.coalesce(_field(field).rlike(pattern), F.lit(False))
+        return F.count(F.when(hit, 1)) >= need
+
+    def shown(alternatives) -> object:
+        out = F.lit(False)
+        for rules in alternatives:
+            every = F.lit(True)
+            for rule in rules:
+                every = every & holds(rule)
+            out = out | every
+        return out
+
+    rows = calls.withColumn("v", F.coalesce(F.try_parse_json("input"), F.parse_json(F.lit("{}"))))
+    return rows.groupBy("log_name").agg(F.create_map(*[x for phase, alternatives in EVIDENCE.items() for x in (F.lit(phase), shown(alternatives))]).alias("evidence"))
 
 
 def tool_calls(transcripts: DataFrame) -> DataFrame:
@@ -65,7 +104,7 @@ def correlate(markers: DataFrame, phases: DataFrame, calls: DataFrame | None = N
 
     ``markers(log_name, line_no, phase_id, status, payload)``; the last marker of a phase counts.  Without one
     the status is ``absent``.  ``warning`` is ``no_marker``, ``skipped_without_reason`` or, if ``calls(log_name,
-    name)`` are given and a done phase left too few, ``no_evidence``.
+    name, input)`` are given and don't show a done phase, ``no_evidence``.
     """
     # The phases are a fixed short list; every log gets each of them.
     required = phases.where("required").agg(F.collect_set("phase_id")).scalar()
@@ -76,9 +115,7 @@ def correlate(markers: DataFrame, phases: DataFrame, calls: DataFrame | None = N
     bare = (status == "SKIPPED") & F.coalesce(F.element_at("m.payload", "reason"), F.lit("")).isin("")
     warning = F.when(status == "absent", "no_marker").when(bare, "skipped_without_reason")
     if calls is not None:
-        spark = calls.sparkSession
-        rules = spark.createDataFrame([(p, n, k) for p, (names, k) in EVIDENCE.items() for n in names], "phase_id string, name string, need int")
-        seen = calls.join(F.broadcast(rules), "name").groupBy("log_name", "phase_id").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("log_name", "phase_id", F.lit(True).alias("seen"))
-        out = out.join(seen, ["log_name", "phase_id"], "left_outer")
-        warning = F.coalesce(warning, F.when((status == "DONE") & F.col("seen").isNull(), "no_evidence"))
+        out = out.join(phase_evidence(calls), "log_name", "left_outer")
+        seen = F.coalesce(F.try_element_at("evidence", F.col("phase_id")), F.lit(False))
+        warning = F.coalesce(warning, F.when((status == "DONE") & ~seen, "no_evidence"))
     return out.select("log_name", "phase_id", status.alias("marker_status"), warning.alias("warning"))
