@@ -156,6 +156,8 @@ Status: ACTIVE
 <!-- ## Milestone 8: hidden -->
 ## Milestone M2 – Two
 - Status: strange
+## Milestone 3-x: not one
+#### Step 2.1: too deep
 """
 
 
@@ -179,8 +181,10 @@ def test_scans(spark):
     assert sorted((r.pos, r.risk) for r in docs.security_scan(df).collect()) == [(1, "secret"), (2, "shell")]
     assert [(r.pos, r.version) for r in docs.version_drift(df, "1.2.3", "LIB").collect()] == [(3, "1.2.4")]
     assert [tuple(r) for r in docs.term_search(df, "OS.").collect()] == [(1, 1)]
-    c = spark.createDataFrame([(1, "all 3 tests pass"), (2, "looks good"), (3, " "), (4, None), (5, "x" * 3000), (6, "nothing here")], "id long, text string")
-    assert {r.id: r.reason for r in docs.validate_conditions(c).collect()} == {1: None, 2: "vague_term", 3: "empty", 4: "empty", 5: "too_long", 6: "nothing_observable"}
+    c = spark.createDataFrame([(1, "pytest exits 0 and tasks.md says so"), (2, "looks good in tasks.md after git tag"), (3, " "), (4, None), (5, "x" * 5000), (6, "see tasks.md, Status: COMPLETE")], "id long, text string")
+    few = "observable_artifacts_insufficient"
+    assert {r.id: r.reason for r in docs.validate_conditions(c).collect()} == {1: None, 2: "condition_too_vague", 3: few, 4: few, 5: "condition_too_long", 6: few}
+    assert docs.validate_conditions(c, 31).where("reason = 'turn_cap_out_of_range'").count() == 6
     a, b = spark.createDataFrame([("x",), ("y",), ("y",)], "k string"), spark.createDataFrame([("y",), ("z",)], "k string")
     assert sorted(tuple(r) for r in docs.reconcile(a, b, "k").collect()) == [("x", "left_only"), ("z", "right_only")]
 
@@ -223,3 +227,8 @@ def test_phase_evidence(spark):
     ]
     got = {r.log_name: {k for k, v in r.evidence.items() if v} for r in evidence.phase_evidence(spark.createDataFrame(calls, "log_name string, name string, input string")).collect()}
     assert got == {"a": {"1", "3"}, "b": {"1.3", "1.5", "3", "5"}}
+
+
+def test_fences():
+    text = "a\n````md\n```\nb\n```\n````\nc\n~~~ x\nd\n~~~ y\n~~~~\ne\n    ```\nf\n`x` ```y```\n```\ng"
+    assert docs.blank_fences(text).split("\n") == ["a", "", "", "", "", "", "c", "", "", "", "", "e", "    ```", "f", "`x` ```y```", "", ""]

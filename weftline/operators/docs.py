@@ -10,35 +10,74 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Statuses and the words that a condition must not hold.
-MILESTONE_STATUS = ("PENDING", "ACTIVE", "IN_PROGRESS", "BLOCKED", "COMPLETE", "DEFERRED")
+MILESTONE_STATUS = ("PENDING", "ACTIVE", "IN_PROGRESS", "BLOCKED", "COMPLETE")
 STEP_STATUS = ("PENDING", "IN_PROGRESS", "BLOCKED", "COMPLETE")
 BOARD = ("PENDING", "IN_PROGRESS", "BLOCKED", "COMPLETE")
 VAGUE = ("correct", "done", "good", "ready", "working")
 
 
-def lines(docs: DataFrame, blank_fences: bool = True) -> DataFrame:
-    """``(doc_id, pos, line)`` with ``pos`` from 0; carriage returns at line ends are cut.
+def blank_fences(text: str) -> str:
+    """``text`` with the lines of fenced blocks emptied, fences included.
 
-    With ``blank_fences`` the lines of fenced blocks, fences included, become empty; an open fence runs to the end.
+    A fence is closed by one of the same sign, at least as long and without a word behind it; so fences of another
+    kind inside are content.  An open fence runs to the end.
     """
-    text = F.regexp_replace("text", "\r", "")
-    if blank_fences:
-        text = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
-    out = docs.where("text is not null").select("doc_id", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    if not blank_fences:
-        return out
-    fence = F.col("line").rlike(r"^\s*(```|~~~)").cast("int")
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    opened = F.sum(fence).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    inside = (opened % 2 == 1) | (fence == 1)
-    return out.select("doc_id", "pos", F.when(inside, "").otherwise(F.col("line")).alias("line"))
+    sign, length, out = "", 0, []
+    for line in text.split("\n"):
+        bare = line.lstrip(" \t")
+        mark = bare[:1]
+        run = len(bare) - len(bare.lstrip(mark)) if mark in ("`", "~") and len(line) - len(bare) <= 3 else 0
+        if sign:
+            if mark == sign and run >= length and not bare[run:].strip():
+                sign = ""
+            out.append("")
+        elif run >= 3 and not (mark == "`" and "`" in bare[run:]):
+            sign, length = mark, run
+            out.append("")
+        else:
+            out.append(line)
+    return "\n".join(out)
+
+
+def _blank(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([blank_fences(t) for t in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+
+
+def lines(docs: DataFrame, fences: bool = False) -> DataFrame:
+    """``(doc_id, pos, line)`` with ``pos`` from 0; carriage returns are cut.
+
+    Unless ``fences`` are to stay, comments are cut and the lines of fenced blocks become empty.  Only texts with
+    a fence go through Python for that.
+    """
+    rows = docs.where("text is not null").select("doc_id", F.regexp_replace("text", "\r", "").alias("text"))
+    if not fences:
+        rows = rows.withColumn("text", F.regexp_replace("text", r"(?s)<!--.*?-->", ""))
+        fenced = F.col("text").contains("```") | F.col("text").contains("~~~")
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        rows = rows.where(~fenced).unionByName(rows.where(fenced).mapInArrow(_blank, f"doc_id {kind}, text string"))
+    return rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+
+
+#: Fixed value: headings of milestones (``## Milestone M1: T``, ``## M2a - T``) and steps (``### Step M2a.1.bis: T``).
+HEADING = (
+    r"^(?:##[ \t]+(?:Milestone[ \t]+M?|M)(\d+[a-z]?(?:\.\d+)*)|###[ \t]+(?:Sub-step|Step|Task)[ \t]+(M?\d+[a-z]?(?:\.\d+)*(?:\.[a-z]{2,}|[a-z])?))"
+    r"(?::|[ \t]+[–—-][ \t]+)[ \t]*(.+?)[ \t]*$"
+)
 
 
 def headings(docs: DataFrame) -> DataFrame:
-    """``(doc_id, pos, kind, number, title)`` of milestone and step headings: ``## Milestone 1: T`` or ``### Step 1.2 - T``."""
-    rx = r"^#{2,4}\s+(Milestone|Step)\s+M?(\d+(?:\.\d+)*[a-z]?)\s*(?::|\s[-–—])\s*(.*?)\s*$"
-    part = lambda i: F.regexp_extract("line", rx, i)
-    return lines(docs).where(F.col("line").rlike(rx)).select("doc_id", "pos", F.lower(part(1)).alias("kind"), part(2).alias("number"), part(3).alias("title"))
+    """``(doc_id, pos, kind, number, title)`` of milestone and step headings.
+
+    The separator is a colon or a dash between blanks; a milestone's leading ``M`` isn't part of its number.
+    """
+    part = lambda i: F.regexp_extract("line", HEADING, i)
+    kind = F.when(part(1) != "", "milestone").otherwise("step")
+    return lines(docs).where(F.col("line").rlike(HEADING)).select(
+        "doc_id", "pos", kind.alias("kind"), F.coalesce(F.nullif(part(1), F.lit("")), part(2)).alias("number"), part(3).alias("title")
+    )
 
 
 def field_values(docs: DataFrame, names: tuple[str, ...] = ("Status", "Gate", "Mode", "Complexity")) -> DataFrame:
@@ -76,14 +115,17 @@ def plan_items(docs: DataFrame) -> DataFrame:
 def progress(items: DataFrame) -> DataFrame:
     """``(doc_id, steps_done, steps, milestones_done, milestones, status)`` per document.
 
-    The status is BLOCKED if any milestone is, COMPLETE if all are, IN_PROGRESS if any is ACTIVE, IN_PROGRESS
-    or COMPLETE, else PENDING.
+    The status is BLOCKED if any milestone or step is, COMPLETE if all milestones are, IN_PROGRESS if any
+    milestone is ACTIVE or IN_PROGRESS or any step IN_PROGRESS or COMPLETE, else PENDING.  Steps before the
+    first milestone belong to none and don't count.
     """
     m, done = F.col("kind") == "milestone", F.col("status") == "COMPLETE"
     count = lambda c: F.count(F.when(c, 1))
+    items = items.where(m | F.col("milestone").isNotNull())
+    moving = m & F.col("status").isin("ACTIVE", "IN_PROGRESS") | ~m & F.col("status").isin("IN_PROGRESS", "COMPLETE")
     rows = items.groupBy("doc_id").agg(
         count(~m & done).alias("steps_done"), count(~m).alias("steps"), count(m & done).alias("milestones_done"), count(m).alias("milestones"),
-        count(m & (F.col("status") == "BLOCKED")).alias("blocked"), count(m & F.col("status").isin("ACTIVE", "IN_PROGRESS", "COMPLETE")).alias("moving"),
+        count(F.col("status") == "BLOCKED").alias("blocked"), count(moving).alias("moving"),
     )
     status = F.when(F.col("blocked") > 0, "BLOCKED").when((F.col("milestones") > 0) & (F.col("milestones_done") == F.col("milestones")), "COMPLETE").when(F.col("moving") > 0, "IN_PROGRESS").otherwise("PENDING")
     return rows.select("doc_id", "steps_done", "steps", "milestones_done", "milestones", status.alias("status"))
@@ -115,27 +157,42 @@ def mentions(docs: DataFrame) -> DataFrame:
 
 def term_search(docs: DataFrame, term: str) -> DataFrame:
     """``(doc_id, matches)``: lines that contain the term, without regard to case."""
-    hit = lines(docs, blank_fences=False).where(F.lower("line").contains(term.lower()))
+    hit = lines(docs, fences=True).where(F.lower("line").contains(term.lower()))
     return hit.groupBy("doc_id").agg(F.count("*").alias("matches"))
 
 
-def validate_conditions(conditions: DataFrame, cap: int = 2000) -> DataFrame:
-    """``(id, ok, reason)`` of ``conditions(id, text)``; the first failing stage names the reason.
+#: Observable things by class, and limits of a condition.
+OBSERVABLE = {
+    "provenance_log": [r"(?i)provenance\.log"],
+    "tasks_md_status": [r"(?i)tasks\.md", r"\bStatus:\s*(COMPLETE|PENDING|ACTIVE)\b"],
+    "git_tag": [r"(?i)\bgit\s+tag\b"],
+    "test_exit_code": [r"(?i)\bmake\s+ci\b", r"(?i)\bpytest\b", r"(?i)\bexit(?:s|ed)?\s+0\b"],
+    "commit_footer": [r"\[[A-Z-]+ Plan\]", r"(?i)\bcommit\s+footer"],
+    "verification_md": [r"(?i)verification\.md"],
+}
+CONDITION_LIMIT, LEAST_OBSERVABLE, TURN_CEILING = 4000, 2, 30
+
 
-    Stages: not empty, within ``cap`` characters, no vague word, at least one observable thing (a path, a
-    command in backticks, an exit code, a count or a test).
+def validate_conditions(conditions: DataFrame, turn_cap: int = TURN_CEILING) -> DataFrame:
+    """``(id, ok, reason, artifacts)`` of ``conditions(id, text)``; the first failing stage names the reason.
+
+    Stages: the turn cap is from 1 to 30, the text is short enough, holds no vague word, and names things of at
+    least two observable classes.  A null text is an empty one.
     """
-    t = F.trim(F.coalesce("text", F.lit("")))
-    vague = t.rlike(r"(?i)\b(" + "|".join(VAGUE) + r")\b")
-    seen = t.rlike(r"[\w-]+/[\w./-]+|`[^`]+`|exit (code|status) \d|\b\d+ (tests?|rows?|files?)\b|\b(pass(es)?|fails?)\b")
-    reason = F.when(t == "", "empty").when(F.length(t) > cap, "too_long").when(vague, "vague_term").when(~seen, "nothing_observable")
-    return conditions.select("id", reason.isNull().alias("ok"), reason.alias("reason"))
+    t = F.coalesce("text", F.lit(""))
+    one = lambda rxs: F.greatest(*[t.rlike(r) for r in rxs], F.lit(False))
+    artifacts = F.array_compact(F.array(*[F.when(one(rxs), F.lit(name)) for name, rxs in OBSERVABLE.items()]))
+    reason = (
+        F.when(F.lit(not 1 <= turn_cap <= TURN_CEILING), "turn_cap_out_of_range").when(F.length(t) > CONDITION_LIMIT, "condition_too_long")
+        .when(t.rlike(r"(?i)\b(" + "|".join(VAGUE) + r")\b"), "condition_too_vague").when(F.size(artifacts) < LEAST_OBSERVABLE, "observable_artifacts_insufficient")
+    )
+    return conditions.select("id", reason.isNull().alias("ok"), reason.alias("reason"), F.array_join(artifacts, ",").alias("artifacts"))
 
 
 def version_drift(docs: DataFrame, canonical: str, keyword: str) -> DataFrame:
     """``(doc_id, pos, version)``: versions other than the canonical one on lines that name the keyword."""
-    rx = r"\b\d+\.\d+\.\d+(?:(?:a|b|rc)\d+)?\b"
-    hit = lines(docs, blank_fences=False).where(F.lower("line").contains(keyword.lower()))
+    rx = r"\b\d+\.\d+\.\d+(?:[.\-][A-Za-z0-9]+|[A-Za-z]+\d*)?"
+    hit = lines(docs, fences=True).where(F.lower("line").contains(keyword.lower()))
     return hit.select("doc_id", "pos", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(rx), F.lit(0)))).alias("version")).where(F.col("version") != canonical)
 
 
@@ -154,7 +211,7 @@ RISKS = {
 def security_scan(docs: DataFrame) -> DataFrame:
     """``(doc_id, pos, risk)`` of every line that belongs to a class of risky text."""
     classes = F.array_compact(F.array(*[F.when(F.col("line").rlike(rx), F.lit(name)) for name, rx in RISKS.items()]))
-    return lines(docs, blank_fences=False).select("doc_id", "pos", F.explode(classes).alias("risk"))
+    return lines(docs, fences=True).select("doc_id", "pos", F.explode(classes).alias("risk"))
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -15,22 +15,24 @@ L = r"""with q as (select doc_id, regexp_replace(replace(text, chr(13), ''), '<!
 u as (select doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) - 1 as pos from q),
 k as (select *, regexp_matches(line, '^\s*(```|~~~)') as f from u), o as (select *, sum(cast(f as integer)) over (partition by doc_id order by pos rows unbounded preceding) as c from k),
 l as (select doc_id, pos, case when f or c % 2 = 1 then '' else line end as line from o)"""
-HEAD = r"'^#{2,4}\s+(Milestone|Step)\s+M?(\d+(?:\.\d+)*[a-z]?)\s*(?::|\s[-–—])\s*(.*?)\s*$'"
+HEAD = r"'^(?:##[ \t]+(?:Milestone[ \t]+M?|M)(\d+[a-z]?(?:\.\d+)*)|###[ \t]+(?:Sub-step|Step|Task)[ \t]+(M?\d+[a-z]?(?:\.\d+)*(?:\.[a-z]{2,}|[a-z])?))(?::|[ \t]+[–—-][ \t]+)[ \t]*(.+?)[ \t]*$'"
+KIND = f"case when regexp_extract(line, {HEAD}, 1) <> '' then 'milestone' else 'step' end"
+NUMBER = f"coalesce(nullif(regexp_extract(line, {HEAD}, 1), ''), regexp_extract(line, {HEAD}, 2))"
 FIELD = r"'^[ \t]*-?[ \t]*\*{0,2}(%s)\*{0,2}:\*{0,2}[ \t]*(\S.*?)\s*$'"
 ITEMS = (
     L
-    + f""", m as (select doc_id, pos, lower(regexp_extract(line, {HEAD}, 1)) kind, regexp_extract(line, {HEAD}, 2) number, regexp_extract(line, {HEAD}, 3) title, null as status from l where regexp_matches(line, {HEAD})
+    + f""", m as (select doc_id, pos, {KIND} kind, {NUMBER} number, regexp_extract(line, {HEAD}, 3) title, null as status from l where regexp_matches(line, {HEAD})
     union all select doc_id, pos, null, null, null, regexp_extract(line, {FIELD % 'Status'}, 2) from l where regexp_matches(line, {FIELD % 'Status'})),
     b as (select *, last_value(case when kind is not null then pos end ignore nulls) over (partition by doc_id order by pos rows unbounded preceding) as blk from m),
     i as (select doc_id, blk as pos, min(kind) kind, min(number) number, min(title) title, arg_min(status, pos) filter (status is not null) raw from b where blk is not null group by 1, 2),
-    items as (select doc_id, pos, kind, number, title, coalesce(case when kind = 'milestone' then case when raw in ('PENDING', 'ACTIVE', 'IN_PROGRESS', 'BLOCKED', 'COMPLETE', 'DEFERRED') then raw end
+    items as (select doc_id, pos, kind, number, title, coalesce(case when kind = 'milestone' then case when raw in ('PENDING', 'ACTIVE', 'IN_PROGRESS', 'BLOCKED', 'COMPLETE') then raw end
       when raw = 'ACTIVE' then 'IN_PROGRESS' when raw in ('PENDING', 'IN_PROGRESS', 'BLOCKED', 'COMPLETE') then raw end, 'PENDING') as status,
       last_value(case when kind = 'milestone' then pos end ignore nulls) over (partition by doc_id order by pos rows unbounded preceding) as milestone from i)"""
 )
 PROGRESS = (
     ITEMS
     + """, c as (select doc_id, count(*) filter (kind <> 'milestone' and status = 'COMPLETE') as steps_done, count(*) filter (kind <> 'milestone') as steps, count(*) filter (kind = 'milestone' and status = 'COMPLETE') as milestones_done,
-    count(*) filter (kind = 'milestone') as milestones, count(*) filter (kind = 'milestone' and status = 'BLOCKED') as bl, count(*) filter (kind = 'milestone' and status in ('ACTIVE', 'IN_PROGRESS', 'COMPLETE')) as mv from items group by 1),
+    count(*) filter (kind = 'milestone') as milestones, count(*) filter (status = 'BLOCKED') as bl, count(*) filter (kind = 'milestone' and status in ('ACTIVE', 'IN_PROGRESS') or kind <> 'milestone' and status in ('IN_PROGRESS', 'COMPLETE')) as mv from items where kind = 'milestone' or milestone is not null group by 1),
     p as (select doc_id, steps_done, steps, milestones_done, milestones, case when bl > 0 then 'BLOCKED' when milestones > 0 and milestones_done = milestones then 'COMPLETE' when mv > 0 then 'IN_PROGRESS' else 'PENDING' end as status from c)"""
 )
 
@@ -49,7 +51,7 @@ def _docs(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text")
 
 
-@query(L + f" select doc_id, cast(pos as integer) as pos, lower(regexp_extract(line, {HEAD}, 1)) as kind, regexp_extract(line, {HEAD}, 2) as number, regexp_extract(line, {HEAD}, 3) as title from l where regexp_matches(line, {HEAD})")
+@query(L + f" select doc_id, cast(pos as integer) as pos, {KIND} as kind, {NUMBER} as number, regexp_extract(line, {HEAD}, 3) as title from l where regexp_matches(line, {HEAD})")
 def headings(spark, d) -> DataFrame:
     """Milestone and step headings."""
     return docs.headings(_docs(spark, d))
@@ -115,7 +117,7 @@ def term_search(spark, d) -> DataFrame:
 
 @query(
     RAW
-    + r""", x as (select doc_id, pos, unnest(list_distinct(regexp_extract_all(line, '\b\d+\.\d+\.\d+(?:(?:a|b|rc)\d+)?\b'))) as version from raw where contains(lower(line), '[')) select doc_id, cast(pos as integer) as pos, version from x where version <> '0.40.1'"""
+    + r""", x as (select doc_id, pos, unnest(list_distinct(regexp_extract_all(line, '\b\d+\.\d+\.\d+(?:[.\-][A-Za-z0-9]+|[A-Za-z]+\d*)?'))) as version from raw where contains(lower(line), '[')) select doc_id, cast(pos as integer) as pos, version from x where version <> '0.40.1'"""
 )
 def doc_drift_versions(spark, d) -> DataFrame:
     """Versions in brackets that aren't the canonical one."""
@@ -123,8 +125,12 @@ def doc_drift_versions(spark, d) -> DataFrame:
 
 
 @query(
-    r"""with t as (select doc_id as id, trim(coalesce(text, '')) as t from documents), r as (select id, case when t = '' then 'empty' when length(t) > 2000 then 'too_long' when regexp_matches(t, '(?i)\b(correct|done|good|ready|working)\b') then 'vague_term'
-    when not regexp_matches(t, '[\w-]+/[\w./-]+|`[^`]+`|exit (code|status) \d|\b\d+ (tests?|rows?|files?)\b|\b(pass(es)?|fails?)\b') then 'nothing_observable' end as reason from t) select id, reason is null as ok, reason from r"""
+    r"""with t as (select doc_id as id, coalesce(text, '') as t from documents), a as (select id, t, list_filter([case when regexp_matches(t, '(?i)provenance\.log') then 'provenance_log' end,
+    case when regexp_matches(t, '(?i)tasks\.md') or regexp_matches(t, '\bStatus:\s*(COMPLETE|PENDING|ACTIVE)\b') then 'tasks_md_status' end, case when regexp_matches(t, '(?i)\bgit\s+tag\b') then 'git_tag' end,
+    case when regexp_matches(t, '(?i)\bmake\s+ci\b|\bpytest\b|\bexit(?:s|ed)?\s+0\b') then 'test_exit_code' end, case when regexp_matches(t, '\[[A-Z-]+ Plan\]') or regexp_matches(t, '(?i)\bcommit\s+footer') then 'commit_footer' end,
+    case when regexp_matches(t, '(?i)verification\.md') then 'verification_md' end], lambda x: x is not null) as f from t),
+    r as (select id, f, case when length(t) > 4000 then 'condition_too_long' when regexp_matches(t, '(?i)\b(correct|done|good|ready|working)\b') then 'condition_too_vague' when len(f) < 2 then 'observable_artifacts_insufficient' end as reason from a)
+    select id, reason is null as ok, reason, coalesce(array_to_string(f, ','), '') as artifacts from r"""
 )
 def goal_validate(spark, d) -> DataFrame:
     """Documents as conditions, with the first stage they fail."""
