@@ -102,7 +102,7 @@ def test_budget_prefix(spark):
 def rbo_by_hand(s, t, p=0.9, k=10):
     if not s or not t:
         return 0.0
-    d = min(k, max(len(s), len(t)))
+    d = k
     agree = lambda i: len(set(s[:i]) & set(t[:i])) / i
     return sum((1 - p) * p ** (i - 1) * agree(i) for i in range(1, d + 1)) + agree(d) * p**d
 

@@ -12,15 +12,17 @@ from weftline.operators.graph import pagerank
 from weftline.operators.ranking import prefix_fit
 from weftline.operators.relational import rank_all
 
-#: Fixed value: kinds in the order in which equal ranks are listed.
-KIND_ORDER = ("class", "interface", "struct", "enum", "function", "async_function", "method", "async_method", "var", "import")
+#: The order in which kinds of equal rank are listed; others come last.
+KIND_PRIORITY = {"function": 0, "async_function": 0, "method": 1, "async_method": 1, "class": 2, "struct": 2, "interface": 2, "type_alias": 3}
+LAST_PRIORITY = 9
 
 
 def ranked_symbols(symbols: DataFrame, files: DataFrame, edges: DataFrame, **options) -> DataFrame:
     """``(pos, rank, name, kind, file, line, signature)`` by PageRank, rounded to three significant digits before sorting."""
     score = pagerank(symbols.select("id"), edges.where("dst is not null").select("src", "dst"), **options)
     digits = F.format_string("%.2e", "rank").cast("double")
-    kind = F.coalesce(F.array_position(F.array(*map(F.lit, KIND_ORDER)), F.col("kind")), F.lit(len(KIND_ORDER) + 1))
+    table = F.create_map(*[F.lit(x) for pair in KIND_PRIORITY.items() for x in pair])
+    kind = F.coalesce(F.try_element_at(table, F.col("kind")), F.lit(LAST_PRIORITY))
     rows = symbols.join(score.select("id", digits.alias("rank")), "id").join(files.select(F.col("id").alias("file_id"), F.col("path").alias("file")), "file_id")
     rows = rows.select("id", "rank", "name", "kind", kind.alias("k"), "file", "line", "signature")
     return rank_all(rows, [F.desc("rank"), F.asc("k"), F.asc("file"), F.asc("line"), F.asc("name"), F.asc("id")], "pos").drop("k", "id")

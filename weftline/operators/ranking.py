@@ -26,13 +26,12 @@ def jaccard(a, b, empty: float = 0.0):
 def rbo(s, t, p: float = 0.9, k: int = 10):
     """Column: rank-biased overlap of two arrays of distinct items to depth ``k``, extrapolated; 0 if either is empty.
 
-    The sum of the agreements at each depth, weighted with ``(1 - p) * p^(d - 1)``, plus the agreement at the
-    last depth times ``p^depth``; the depth is the length of the longer list, at most ``k``.
+    The sum of the agreements at depths 1 to ``k``, weighted with ``(1 - p) * p^(d - 1)``, plus the agreement at
+    depth ``k`` times ``p^k``.  Shorter lists are compared to depth ``k`` too, as if they went on without matches.
     """
-    depth = F.least(F.lit(k), F.greatest(F.size(s), F.size(t)))
     agree = lambda d: F.size(F.array_intersect(F.slice(s, 1, d), F.slice(t, 1, d))) / d
-    total = F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), F.lit(0.0), lambda acc, d: acc + (1 - p) * F.pow(F.lit(p), d - 1) * agree(d))
-    return F.when((F.size(s) > 0) & (F.size(t) > 0), total + agree(depth) * F.pow(F.lit(p), depth)).otherwise(0.0)
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.lit(0.0), lambda acc, d: acc + (1 - p) * F.pow(F.lit(p), d - 1) * agree(d))
+    return F.when((F.size(s) > 0) & (F.size(t) > 0), total + agree(F.lit(k)) * p**k).otherwise(0.0)
 
 
 def newest(df: DataFrame, group: list[str], order: list, n: int) -> DataFrame:

@@ -218,7 +218,7 @@ def jaccard_pairs(spark, d) -> DataFrame:
 
 @query(
     _LISTS
-    + """, dd as (select *, greatest(len(s), len(t)) as k from pairs) select repo_a, repo_b, round(list_sum(list_transform(range(1, k + 1), lambda i: 0.1 * pow(0.9, i - 1) * len(list_intersect(s[1:i], t[1:i])) / i)) + len(list_intersect(s[1:k], t[1:k])) / k * pow(0.9, k), 6) as rbo from dd"""
+    + " select repo_a, repo_b, round(list_sum(list_transform(range(1, 11), lambda i: 0.1 * pow(0.9, i - 1) * len(list_intersect(s[1:i], t[1:i])) / i)) + len(list_intersect(s[1:10], t[1:10])) / 10 * pow(0.9, 10), 6) as rbo from pairs"
 )
 def rbo_pairs(spark, d) -> DataFrame:
     """Overlap of the same lists, weighted towards the top."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 SCHEMA = "file_id long, what string, name string, kind string, line int, signature string, docstring string, parent string, target string"
 
 # Built-in callees that never make an edge when called bare.
-BUILTINS = frozenset("print len open eval exec range enumerate zip map filter sorted isinstance str int float bool list dict set tuple type super getattr setattr hasattr".split())
+BUILTINS = frozenset("print len str int float bool list dict set tuple type isinstance issubclass super range enumerate zip map filter sorted reversed open input eval".split())
 
 
 def _signature(node: ast.FunctionDef | ast.AsyncFunctionDef) -> str:
