@@ -21,7 +21,7 @@ def test_text_columns(spark):
     assert one(spark, "x.TSX", text.language(t)) == ("tsx",) and one(spark, "x.unknown", text.language(t)) == (None,)
     field = text.enum_field(t, "Profile", ("light", "full"))
     assert one(spark, "x\n- **Profile:** full \n", field)[0] == ("full", True, None)
-    assert one(spark, "- Profile: FULL", field)[0] == ("FULL", False, "invalid") and one(spark, None, field)[0] == (None, False, "missing")
+    assert one(spark, "- Profile: FULL", field)[0] == ("FULL", False, "invalid") and one(spark, None, field)[0] == (None, True, None)
     assert one(spark, "a\x1b[31m\n\n b`<c>" + "x" * 200, F.length(text.display(t)), F.substring(text.display(t), 1, 5)) == (120, "a 31m")
     assert one(spark, "x" * 61, text.preview(t)) == ("x" * 60 + "…",) and one(spark, None, text.preview(t)) == (None,)
     a, b = one(spark, "a  \r\nb\r\n\r\n", text.text_hash(t)), one(spark, "a\nb", text.text_hash(t))

@@ -17,10 +17,13 @@ def language(path):
 
 
 def enum_field(text, name: str, allowed: tuple[str, ...]):
-    """Column ``struct(value, ok, error)``: the first value of a field line and whether it is one of ``allowed``, with case."""
+    """Column ``struct(value, ok, error)``: the first value of a field line and whether it is one of ``allowed``, with case.
+
+    A field that is absent is in order and has a null value.
+    """
     value = F.regexp_extract(F.coalesce(text, F.lit("")), rf"(?m)^[ \t]*-?[ \t]*\*{{0,2}}{name}\*{{0,2}}:\*{{0,2}}[ \t]*(\S.*?)[ \t\r]*$", 1)
     found = F.when(value != "", value)
-    error = F.when(found.isNull(), F.lit("missing")).when(~found.isin(*allowed), F.lit("invalid"))
+    error = F.when(found.isNotNull() & ~found.isin(*allowed), F.lit("invalid"))
     return F.struct(found.alias("value"), error.isNull().alias("ok"), error.alias("error"))
 
 
