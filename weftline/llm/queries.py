@@ -44,15 +44,23 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("scope").alias("repo"), F.col("item_a").alias("file_a"), F.col("item_b").alias("file_b"))
 
 
-def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs that occur together at least twice, with counts and association scores."""
-    pairs = co_change(table(spark, d, "commit_files"), table(spark, d, "commits"), min_count=2)
+def _scored(pairs: DataFrame) -> DataFrame:
     return pairs.select(
         F.col("scope").alias("repo"), F.col("item_a").alias("file_a"), F.col("item_b").alias("file_b"), "n_ab", "n_a", "n_b", "n",
         F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi"),
     )
 
 
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs that occur together at least twice, with counts and association scores."""
+    return _scored(co_change(table(spark, d, "commit_files"), table(spark, d, "commits"), min_count=2))
+
+
+def p6_all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs that occur together at all, with counts and association scores."""
+    return _scored(co_change(table(spark, d, "commit_files"), table(spark, d, "commits")))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document by byte_bpe_50k."""
     return encode_corpus(table(spark, d, "documents"), "doc_id", "text")
@@ -69,7 +77,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spam(table(spark, d, "documents")).where("kind is not null").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p5_found, p5_rates, p6_found, p6_pairs, p7_ids, p8_containers, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p5_found, p5_rates, p6_found, p6_pairs, p6_all_pairs, p7_ids, p8_containers, p9_found)}
 _HELD = r"""with k as (select distinct lower(trim(sha)) as sha, repo from commits where sha is not null and repo is not null),
 h as (select distinct k.repo, k.sha, regexp_replace(regexp_replace(replace(trim(regexp_replace(trim(file_path), '^"|"$', '', 'g')), '\', '/'), '/{2,}', '/', 'g'), '^(\./)+', '') as f
   from commit_files join k on lower(trim(commit_sha)) = k.sha where file_path is not null),
@@ -79,4 +87,5 @@ q as (select p.*, a.c as n_a, b.c as n_b, n.n from p join s a on a.repo = p.repo
 SQL: dict[str, str] = {
     "p6_found": _HELD + " select repo, file_a, file_b from q where n_ab >= 5 and n_ab * n >= 3 * n_a * n_b",
     "p6_pairs": _HELD + " select repo, file_a, file_b, n_ab, n_a, n_b, n, round(n_ab * n / (n_a * n_b), 6) as lift, round(log2(n_ab * n / (n_a * n_b)), 6) as pmi from q where n_ab >= 2",
+    "p6_all_pairs": _HELD + " select repo, file_a, file_b, n_ab, n_a, n_b, n, round(n_ab * n / (n_a * n_b), 6) as lift, round(log2(n_ab * n / (n_a * n_b)), 6) as pmi from q",
 }
