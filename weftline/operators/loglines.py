@@ -18,19 +18,20 @@ from weftline.session import cut
 #: Lines of a block.
 BLOCK = 4096
 
-PARSED = "log_name string, line_no long, kind string, ts_ms long, level string, component string, message string, unparsed int"
+PARSED = "log_name string, line_no long, kind string, ts_ms long, level string, component string, message string, unparsed int, text string"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from weftline.functions.logformats import LineParser
 
     parse = LineParser().parse
-    names = ["log_name", "line_no", "kind", "ts_ms", "level", "component", "message", "unparsed"]
+    names = [part.split()[0] for part in PARSED.split(", ")]
     for batch in batches:
         years = batch.column(3).to_pylist()
-        rows = [parse(raw, year) for raw, year in zip(batch.column(2).to_pylist(), years, strict=True)]
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        order = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32()]
+        raws = batch.column(2).to_pylist()
+        rows = [(*parse(raw, year), (raw or "").rstrip("\r\n")) for raw, year in zip(raws, years, strict=True)]
+        columns = list(zip(*rows, strict=True)) or [()] * 7
+        order = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
         arrays = [pa.array(c, t) for c, t in zip(columns, order, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names)
 
@@ -38,6 +39,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def parse_lines(lines: DataFrame) -> DataFrame:
     """One parsed row per ``(log_name, line_no)``; see ``logformats.LineParser`` for the columns.
 
+    ``text`` is the whole line without its end.
     Repeated lines count once; of different texts for one line the smallest counts.  Rows with a null log or
     line number are left out, a null text is an empty line.  Without ``captured_at`` the year is 1970.
     """
@@ -52,14 +54,60 @@ def log_entries(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     A line that starts no entry belongs to the entry above it, up to the line before the next entry; lines
     before the first entry belong to none.  An object spread over several lines starts an entry if its lines
     follow each other up to the closing one and give a time and a level.  An empty table gives no entries.
+    ``message`` is that of the entry's first line or object; ``whole_entries`` has the lines below it too.
     """
     # Several steps read the parsed lines; they are parsed once and written without their raw text.
-    parsed = cut(parse_lines(lines).withColumn("block", F.floor((F.col("line_no") - 1) / block)))
+    return _assemble(cut(_blocked(parse_lines(lines).drop("text"), block)), block).drop("head_line")
+
+
+def whole_entries(lines: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``log_entries`` with the text of all their lines: ``message`` and ``unparsed``.
+
+    The lines below the first line, or below the object that starts the entry, are appended to ``message`` in
+    line order, each after a line feed, with their indentation and without colour codes; blank lines too.  Of
+    the object itself the member named as message counts, as in an object on one line.  ``unparsed`` are the
+    spans ``(line_no, start, stop, text)`` that no rule of the grammar explains, in line order: characters
+    ``start`` to ``stop``, from 0 and without ``stop``, of the line without its end.
+    """
+    parsed = cut(_blocked(parse_lines(lines), block))
+    heads = cut(_assemble(parsed, block))
+    # The entry of each line: the last one that starts in its block up to it, else in an earlier block.
+    starts = heads.select("log_name", F.col("line_no").alias("start"), "head_line").withColumn("head", F.struct("start", "head_line"))
+    held = parsed.join(starts.select("log_name", F.col("start").alias("line_no"), "head"), ["log_name", "line_no"], "left_outer")
+    inner = Window.partitionBy("log_name", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    held = held.withColumn("own", F.last("head", ignorenulls=True).over(inner))
+    sums = _blocked(starts.withColumnRenamed("start", "line_no"), block).groupBy("log_name", "block").agg(F.max("head").alias("leaves"))
+    sums = parsed.select("log_name", "block").distinct().join(sums, ["log_name", "block"], "left_outer")
+    earlier = Window.partitionBy("log_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("log_name", "block", F.last("leaves", ignorenulls=True).over(earlier).alias("carried"))
+    held = held.join(sums, ["log_name", "block"]).withColumn("own", F.coalesce("own", "carried")).where("own is not null")
+    below = F.col("line_no") > F.col("own.head_line")
+    # Inside the object that starts an entry the grammar explains every line.
+    size = F.length("text")
+    first = F.when(below & (F.col("kind") != "rest"), F.lit(0)).otherwise(size - F.col("unparsed"))
+    held = held.withColumn("first", first)
+    span = F.struct("line_no", F.col("first").alias("start"), size.alias("stop"), F.expr("substring(text, first + 1)").alias("text"))
+    plain = F.regexp_replace("text", r"\x1b\[[0-9;]*[A-Za-z]", "")
+    texts = held.groupBy("log_name", F.col("own.start").alias("line_no")).agg(
+        F.sort_array(F.collect_list(F.when(below, F.struct("line_no", plain.alias("text"))))).alias("more"),
+        F.sort_array(F.collect_list(F.when(F.col("first") < size, span))).alias("unparsed"),
+    )
+    out = heads.drop("head_line").join(texts, ["log_name", "line_no"])
+    message = F.when(F.size("more") == 0, F.col("message")).otherwise(F.array_join(F.concat(F.array(F.coalesce("message", F.lit(""))), F.col("more.text")), "\n"))
+    return out.withColumn("message", message).drop("more")
+
+
+def _blocked(rows: DataFrame, block: int) -> DataFrame:
+    return rows.withColumn("block", F.floor((F.col("line_no") - 1) / block))
+
+
+def _assemble(parsed: DataFrame, block: int) -> DataFrame:
+    """``log_entries`` of parsed lines; ``head_line`` is the last line of what starts the entry."""
     fields = ["ts_ms", "level", "component", "message"]
     ends = parsed.groupBy("log_name", "block").agg(F.max("line_no").alias("end"))
     objects = _objects(parsed.where("kind in ('open', 'member', 'close')"), fields)
-    heads = parsed.where("kind = 'entry'").select("log_name", "line_no", *fields).unionByName(objects)
-    heads = heads.withColumn("block", F.floor((F.col("line_no") - 1) / block))
+    heads = parsed.where("kind = 'entry'").select("log_name", "line_no", F.col("line_no").alias("head_line"), *fields).unionByName(objects)
+    heads = _blocked(heads, block)
     inner = Window.partitionBy("log_name", "block").orderBy("line_no")
     heads = heads.withColumn("next", F.lead("line_no").over(inner))
     # Per block: its first entry and last line; then, over blocks only, the first entry of any later block.
@@ -70,7 +118,7 @@ def log_entries(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     blocks = blocks.select("log_name", "block", F.first("first", ignorenulls=True).over(later).alias("after"), F.max("end").over(whole).alias("log_end"))
     out = heads.join(blocks, ["log_name", "block"])
     last = F.coalesce(F.col("next") - 1, F.col("after") - 1, F.col("log_end"))
-    return out.select("log_name", "line_no", last.alias("last_line"), *fields)
+    return out.select("log_name", "line_no", last.alias("last_line"), *fields, "head_line")
 
 
 def _objects(parts: DataFrame, fields: list[str]) -> DataFrame:
@@ -91,7 +139,7 @@ def _objects(parts: DataFrame, fields: list[str]) -> DataFrame:
         F.count("*").alias("n"), F.min(F.when(F.col("kind") == "close", F.col("line_no"))).alias("close"), *[value(c) for c in fields]
     )
     whole = whole.where("close is not null and n = close - start + 1 and ts_ms is not null and level is not null")
-    return whole.select("log_name", F.col("start").alias("line_no"), *fields)
+    return whole.select("log_name", F.col("start").alias("line_no"), F.col("close").alias("head_line"), *fields)
 
 
 def markers(entries: DataFrame) -> DataFrame:

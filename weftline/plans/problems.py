@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.changefeed import apply_changes
 from weftline.operators.hierarchy import descendants, symbol_hierarchy
-from weftline.operators.loglines import log_entries, markers
+from weftline.operators.loglines import log_entries, markers, whole_entries
 from weftline.session import table
 
 
@@ -43,8 +43,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_entries(spark: SparkSession, d: str) -> DataFrame:
-    """Entries with their message."""
-    return log_entries(table(spark, d, "log_lines"))
+    """Entries with their whole message, the lines below the first included, and the spans that no rule explains."""
+    return whole_entries(table(spark, d, "log_lines"))
 
 
 def p4_markers(spark: SparkSession, d: str) -> DataFrame:
