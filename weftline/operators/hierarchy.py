@@ -143,6 +143,27 @@ def descendants(tree: DataFrame) -> DataFrame:
     ).select("ancestor", "descendant", (F.col("depth") - F.col("pos")).alias("distance"))
 
 
+def all_descendants(tree: DataFrame) -> DataFrame:
+    """``descendants`` and the same for rows on or below cycles, from ``hierarchy(with_path=True)``.
+
+    Above such a row is what a walk over its parents meets until an id repeats, the row itself left out: the
+    rows between it and the cycle, and all rows of the cycle.  The distance is that of the first meeting, so
+    every pair comes out once.  A row that is its own parent gives no pair with itself.
+    """
+    # The ancestors nearest to each row, twice as many in each round; a walk is whole once an id repeats.
+    at = cut(tree.where("cycle is not null").select("id", F.array("parent").alias("above"), (F.col("id") == F.col("parent")).alias("whole")))
+    while not at.where("not whole").isEmpty():
+        far = at.select(F.col("id").alias("last"), F.col("above").alias("beyond"), F.col("whole").alias("beyond_whole"))
+        step = at.where("not whole").select("id", "above", F.element_at("above", -1).alias("last")).join(far, "last")
+        longer = F.concat("above", "beyond")
+        seen = F.array_distinct(F.concat(F.array("id"), longer))
+        step = step.select("id", F.array_distinct(longer).alias("above"), (F.col("beyond_whole") | (F.size(seen) <= F.size(longer))).alias("whole"))
+        at, old = cut(at.where("whole").unionByName(step)), at
+        drop(old)
+    walked = at.select(F.col("id").alias("descendant"), F.posexplode("above").alias("pos", "ancestor")).where("ancestor <> descendant")
+    return descendants(tree).unionByName(walked.select("ancestor", "descendant", (F.col("pos") + F.lit(1)).alias("distance")))
+
+
 def symbol_path(scip_id):
     """The part of a symbol identifier after its file's ``#``.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.changefeed import apply_changes
-from weftline.operators.hierarchy import descendants, symbol_hierarchy
+from weftline.operators.hierarchy import all_descendants, descendants, symbol_hierarchy
 from weftline.operators.loglines import log_entries, markers, whole_entries
 from weftline.session import table
 
@@ -32,6 +32,18 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return descendants(symbol_hierarchy(table(spark, d, "symbols"), with_path=True)).withColumn("distance", F.col("distance").cast("long"))
 
 
+def p1_below(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of a symbol and one above it, those on and below cycles included, with their distance."""
+    return all_descendants(symbol_hierarchy(table(spark, d, "symbols"), with_path=True)).withColumn("distance", F.col("distance").cast("long"))
+
+
+def p1_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Every symbol with the number of symbols below it, those on and below cycles included."""
+    tree = symbol_hierarchy(table(spark, d, "symbols"), with_path=True)
+    below = all_descendants(tree).groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("n_below"))
+    return tree.join(below, "id", "left_outer").select("id", F.coalesce("n_below", F.lit(0)).alias("n_below"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """The files that exist after all changes, with their last content."""
     return apply_changes(table(spark, d, "wal_entries"))
@@ -59,6 +71,10 @@ a as (select s.id, coalesce(q.id, (select min(t.id) from s t where t.file_id = s
 down as (select id, 0 as depth, id as root, cast(id as varchar) as path from a where parent is null union all select a.id, d.depth + 1, d.root, d.path || '/' || cast(a.id as varchar) from a join down d on a.parent = d.id),
 lost as (select id, parent from a where id not in (select id from down)), up as (select id, parent as cur from lost union select u.id, l.parent from up u join lost l on l.id = u.cur),
 ring as (select id from up where cur = id), cyc as (select u.id, min(u.cur) as cycle from up u where u.cur in (select id from ring) group by 1)"""
+# The walk over parents of symbols that the roots don't reach ends before an id repeats.
+_BELOW = """, w as (select id, [id, parent] as seen from lost where parent <> id union all select w.id, list_append(w.seen, l.parent) from w join lost l on l.id = w.seen[-1] where not list_contains(w.seen, l.parent)),
+    x as (select id, depth, unnest(string_split(path, '/')[:-2]) as a, generate_subscripts(string_split(path, '/')[:-2], 1) - 1 as p from down where depth > 0),
+    pairs as (select cast(a as bigint) as ancestor, id as descendant, cast(depth - p as bigint) as distance from x union all select seen[-1], id, cast(len(seen) - 1 as bigint) from w)"""
 SQL: dict[str, str] = {
     "p1_found": _PARENTS + " select id, root as root_id from down where depth >= 3 union all select id, cycle from cyc",
     "p1_hierarchy": _PARENTS
@@ -67,6 +83,8 @@ SQL: dict[str, str] = {
     "p1_descendants": _PARENTS
     + """, x as (select id, depth, unnest(string_split(path, '/')[:-2]) as a, generate_subscripts(string_split(path, '/')[:-2], 1) - 1 as p from down where depth > 0)
     select cast(a as bigint) as ancestor, id as descendant, cast(depth - p as bigint) as distance from x""",
+    "p1_below": _PARENTS + _BELOW + " select ancestor, descendant, distance from pairs",
+    "p1_counts": _PARENTS + _BELOW + " select a.id, count(p.ancestor) as n_below from a left join pairs p on p.ancestor = a.id group by 1",
     # Entries without a version follow the change that left the content they were made on; chains of them in steps.
     "p3_found": """with recursive e as (select distinct repo, args.path as path, prev_user_version as v, args.content_hash_before as b, case when lower(op) like '%delete%' then null else content_sha end as sha, lower(op) like '%delete%' as dead
       from wal_entries where not coalesce(ack, false) and args.path is not null and (lower(op) like '%delete%' or content_sha is not null)),
@@ -77,4 +95,4 @@ SQL: dict[str, str] = {
     r as (select repo, path, sha, dead, row_number() over (partition by repo, path order by v desc, s desc, dead, sha desc) as i from o)
     select repo, path, sha as content_sha from r where i = 1 and not dead""",
 }
-QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p3_found, p4_found, p4_entries, p4_markers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p1_below, p1_counts, p3_found, p4_found, p4_entries, p4_markers)}
