@@ -294,7 +294,7 @@ def ranked_symbols(spark, d) -> DataFrame:
     """All symbols in the order of their rank."""
     from weftline.operators.context import ranked_symbols as ranked
 
-    return ranked(*_v(spark, d, "symbols", "files", "edges"), max_iterations=10)
+    return ranked(*_v(spark, d, "symbols", "files", "edges"))
 
 
 @query()
