@@ -140,20 +140,28 @@ def resolve_imports(imports: DataFrame, modules: DataFrame, prefixes: tuple[str,
 
     Strategies: the name itself, relative to the source's package, behind a fixed prefix, as the ending of a
     longer name (then the smallest).  A module doesn't import itself; what isn't found has a null target.
-    ``imports(source, import)``, ``modules(module)``.
+    ``imports(source, import)``, ``modules(module)``; both may have ``scope``, within which names hold, and
+    ``file``, as a file with two names doesn't import itself either.  ``scope`` and ``file`` of the import come out too.
     """
-    m = modules.select(F.col("module").alias("target")).distinct()
-    rows = imports.select("source", "import").distinct()
+    extra = [c for c in ("scope", "file") if c in imports.columns]
+    scope = lambda df: df["scope"] if "scope" in df.columns else F.lit("")
+    file = lambda df, name: df["file"] if "file" in df.columns else df[name]
+    m = modules.select(scope(modules).alias("scope"), F.col("module").alias("target"), file(modules, "module").alias("holder")).distinct()
+    rows = imports.select(scope(imports).alias("scope"), file(imports, "source").alias("file"), "source", "import").distinct()
+    keys = ["scope", "file", "source", "import"]
     package = F.regexp_extract("source", r"^(.*)\.[^.]*$", 1)
-    direct = rows.select("source", "import", F.lit(1).alias("strategy"), F.col("import").alias("target"))
-    relative = rows.where(package != "").select("source", "import", F.lit(2), F.concat_ws(".", package, F.col("import")))
-    fixed = rows.select("source", "import", F.lit(3), F.explode(F.array(*[F.concat(F.lit(p), F.col("import")) for p in prefixes])))
-    exact = direct.union(relative).union(fixed).join(m, "target", "left_semi").select("source", "import", "target", "strategy")
-    # Every ending of a module name after a dot, so that the last strategy is an equality join too.
-    ends = m.select("target", F.explode(F.expr("transform(sequence(2, greatest(size(split(target, '[.]')), 2)), i -> array_join(slice(split(target, '[.]'), i, size(split(target, '[.]'))), '.'))")).alias("import"))
-    suffix = rows.join(ends.where("import <> ''"), "import").select("source", "import", "target", F.lit(4).alias("strategy"))
-    best = exact.union(suffix).where("target <> source").groupBy("source", "import").agg(F.min(F.struct("strategy", "target")).alias("b"))
-    return rows.join(best, ["source", "import"], "left_outer").select("source", "import", F.col("b.target").alias("target"), F.col("b.strategy").alias("strategy"))
+    guess = lambda strategy, target: F.struct(F.lit(strategy).alias("strategy"), target.alias("target"))
+    guesses = [guess(1, F.col("import")), guess(2, F.when(package != "", F.concat_ws(".", package, F.col("import")))), *[guess(3, F.concat(F.lit(p), F.col("import"))) for p in prefixes]]
+    exact = rows.select(*keys, F.explode(F.array(*guesses)).alias("g")).select(*keys, "g.*").join(m, ["scope", "target"]).select(*keys, "target", "strategy", "holder")
+    # Every ending of a module name after a dot, so that the last strategy is an equality join too.  Of the names
+    # with one ending only the two smallest of different files are kept: the second where the first is the source.
+    ends = m.select("scope", "target", "holder", F.explode(F.expr("transform(sequence(2, greatest(size(split(target, '[.]')), 2)), i -> array_join(slice(split(target, '[.]'), i, size(split(target, '[.]'))), '.'))")).alias("import")).where("import <> ''")
+    ends = ends.groupBy("scope", "import", "holder").agg(F.min("target").alias("target"))
+    nearest = Window.partitionBy("scope", "import").orderBy("target", "holder")
+    ends = ends.withColumn("k", F.row_number().over(nearest)).where("k <= 2").drop("k")
+    suffix = rows.join(ends, ["scope", "import"]).select(*keys, "target", F.lit(4).alias("strategy"), "holder")
+    best = exact.union(suffix).where("holder <> file").groupBy(*keys).agg(F.min(F.struct("strategy", "target")).alias("b"))
+    return rows.join(best, keys, "left_outer").select(*extra, "source", "import", F.col("b.target").alias("target"), F.col("b.strategy").alias("strategy"))
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,12 +41,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for written intermediate tables: the one that the cluster names in ``spark.checkpoint.dir``.
+    """The folder for written intermediate tables: ``spark.checkpoint.dir``, else the checkpoint folder set on the context.
 
-    Only where that setting is unset (tests on one machine) a temporary folder takes its place.
+    Only where neither is set and the session runs on one machine a temporary folder takes its place; on a cluster
+    its executors couldn't share that, so it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        set_on_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = set_on_context.get() if set_on_context.isDefined() else None
+    if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="weftline-shared-"))
         named = _local[0]
@@ -75,6 +84,17 @@ def drop(*dfs: DataFrame | None) -> None:
             _delete(_written.pop(path), path)
 
 
+@contextmanager
+def written_tables() -> Iterator[None]:
+    """Delete on leaving what ``cut`` wrote inside, for sessions that run on; results must have been used or stored by then."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in [p for p in _written if p not in before]:
+            _delete(_written.pop(path), path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
