@@ -92,3 +92,32 @@ def test_pairs(spark):
     assert set(got) == {1, 2, 7}
     assert got[1].code == text and (got[1].start, got[1].stop) == (0, len(text)) and got[2].code == "()" and got[2].description == "Oldest first."
     assert documented_functions(df.limit(0)).count() == 0 and code_description_pairs(df, files.limit(0), texts.limit(0), langs).count() == 3
+
+
+PROBES = {
+    "javascript": ("/** Doc a. */\nconst a = (x) => {\n  return x;\n};\n// Doc b.\nexports.b = function (y) { return y };\n'function no() {}'\n", [("a", "/** Doc a. */"), ("b", "// Doc b.\n")]),
+    "java": ("interface A {\n  /** Doc f. */\n  int f(int a);\n}\n", [("f", "  /** Doc f. */")]),
+    "python": ('def f(a=((1, (2, 3)),)):\n    """Doc f."""\n    x = """\ndef no(): pass\n"""\n', [("f", '"""Doc f."""')]),
+}
+
+
+@pytest.mark.parametrize("language", PROBES)
+def test_more_forms(language):
+    text, want = PROBES[language]
+    assert [(n, doc) for n, _, _, doc, _, _ in source_functions(text, language)] == want
+
+
+def test_deep_sources():
+    deep = "/** Doc. */\nfunction f() " + "{" * 5_000 + "}" * 5_000
+    assert [(n, doc) for n, _, _, doc, _, _ in source_functions(deep, "javascript")] == [("f", "/** Doc. */")]
+
+
+def test_documentation_of_the_source_counts(spark):
+    text = "# Oldest first.\ndef f(x)\nend\n\n# TODO\ndef f(y)\nend\n\n# Never blocks.\ndef g\nend\n\ndef h\nend\n"
+    rows = [(1, 1, "f", "method", 3, "f(x)", "TODO"), (2, 1, "f", "method", 6, "f(y)", "Oldest first."), (3, 1, "g", "method", None, "g", "TODO"), (4, 1, "h", "method", 13, "h", "UTC only."), (5, 1, "gone", "method", 1, "gone", "UTC only."), (6, 2, "f", "method", 1, "f", "UTC only.")]
+    symbols = spark.createDataFrame(rows, "id long, file_id long, name string, kind string, line int, signature string, docstring string")
+    files = spark.createDataFrame([(1, "a.rb"), (2, "b.rb")], "id long, path string")
+    texts = spark.createDataFrame([(1, text), (2, None)], "file_id long, content string")
+    langs = spark.createDataFrame([("ruby", ".rb")], "lang string, ext string")
+    got = {r.id: (r.description, r.origin, r.start is not None) for r in code_description_pairs(symbols, files, texts, langs).collect()}
+    assert got == {1: ("Oldest first.", "source", True), 3: ("Never blocks.", "source", True), 4: ("UTC only.", "symbol", True), 5: ("UTC only.", "symbol", False), 6: ("UTC only.", "symbol", False)}

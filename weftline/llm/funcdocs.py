@@ -1,9 +1,9 @@
 """Functions paired with their documentation.
 
-Two kinds of packrat grammars do the work.  One per language finds functions in source text with the comment or
-string that documents them, keeping offsets.  One for documentation itself splits it into sentences, described
-and bare tags, notes, directives, code and rulers.  A pair is kept if a sentence or a tag's description holds a
-word that name, signature and filler don't account for.
+Two kinds of packrat grammars do the work.  One per language (``sources.code_grammars``, which the code index uses
+too) finds functions in source text with the comment or string that documents them, keeping offsets.  One for
+documentation itself splits it into sentences, described and bare tags, notes, directives, code and rulers.  A pair
+is kept if a sentence or a tag's description holds a word that name, signature and filler don't account for.
 """
 
 from __future__ import annotations
@@ -13,122 +13,17 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.peg import Expression, Parse, ahead, alt, cap, many, no, opt, pat, ref, seq
+from weftline.functions.peg import Expression, Parse, alt, many, pat, ref, seq
+from weftline.sources.code_grammars import declarations, with_language
 
 KINDS = ("function", "method", "async_function", "async_method")
 
-# ---------------------------------------------------------------------------------------------------------
-# Grammars of source text
-# ---------------------------------------------------------------------------------------------------------
-
-_BLANK = pat(r"[ \t]*")
-_LINE = pat(r"[^\n]*(?:\n|$)")
-_STRINGS = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\''
-_PARENS = r"\((?:[^()\"'\n]|\n|" + _STRINGS + r"|\((?:[^()\n]|\([^()\n]*\))*\))*\)"
-
-
-def _brace_rules(header: str, doc: str, strings: str, comments: str) -> dict[str, Expression]:
-    """Doc comment, header and balanced block; scanning goes on behind the header, so nested functions are found."""
-    return {
-        "file": many(alt(ref("unit"), ref("skip"))),
-        "unit": seq(opt(ref("doc")), _BLANK, cap("function", seq(pat(header), ahead(cap("body", ref("block")))))),
-        "doc": seq(cap("doc", pat(doc)), pat(r"[ \t]*\n?(?:[ \t]*@\w[^\n]*\n|[ \t]*#\[[^\n]*\]\n)*")),
-        "block": seq(pat(r"\{"), many(alt(ref("block"), pat(strings, re.S), pat(comments, re.S), pat(r"[^{}\"'`/]+|/|'|`"), )), pat(r"\}")),
-        "skip": seq(no(pat(r"$(?!\n)")), _LINE),
-    }
-
-
-_SLASH_DOC = r"[ \t]*/\*\*?(?:[^*]|\*(?!/))*\*/|(?:[ \t]*//[^\n]*\n)+"
-_C_COMMENTS = r"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/"
-_JS_MODIFIERS = r"(?:(?:export|default|public|private|protected|static|readonly|abstract|override|async|get|set)\s+)*"
-_NOT_NAMES = r"(?!(?:if|for|while|switch|catch|return|function|with|else|do|new|synchronized|match|loop|select|throw|super)\b)"
-
-GRAMMARS: dict[str, dict[str, Expression]] = {
-    "javascript": _brace_rules(
-        r"(?P<signature>" + _JS_MODIFIERS + r"(?:function\s*\*?\s*)?" + _NOT_NAMES + r"(?P<name>[#\w$]+)\s*(?:<[^<>()\n]*>)?\s*" + _PARENS + r"(?:\s*:\s*[\w$.<>\[\]| ,]+?)?)\s*(?=\{)",
-        _SLASH_DOC, _STRINGS + r"|`(?:[^`\\]|\\.)*`", _C_COMMENTS,
-    ),
-    "java": _brace_rules(
-        r"(?P<signature>(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)\s+)*(?:<[^<>\n]*>\s*)?(?!(?:new|return|else|throw|class|package|import)\b)[\w.]+(?:<[^()\n]*>)?(?:\[\])*\s+"
-        + _NOT_NAMES + r"(?P<name>\w+)\s*" + _PARENS + r")\s*(?:throws\s+[\w., ]+)?\s*(?=\{)",
-        _SLASH_DOC, r'"""(?:[^\\"]|\\.|"(?!""))*"""|' + _STRINGS, _C_COMMENTS,
-    ),
-    "go": _brace_rules(r"(?P<signature>func\s*(?:\([^()\n]*\)\s*)?(?P<name>\w+)(?:\[[^\]\n]*\])?\s*" + _PARENS + r"[^{\n]*?)\s*(?=\{)", _SLASH_DOC, r'"(?:[^"\\\n]|\\.)*"|`[^`]*`|\'(?:[^\'\\\n]|\\.)+\'', _C_COMMENTS),
-    "rust": _brace_rules(
-        r"(?P<signature>(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*fn\s+(?P<name>\w+)(?:<[^()\n]*>)?\s*" + _PARENS + r"(?:\s*->\s*[^{\n]+?)?(?:\s*where[^{]*?)?)\s*(?=\{)",
-        r"(?:[ \t]*//[/!]?[^\n]*\n)+|[ \t]*/\*\*?(?:[^*]|\*(?!/))*\*/", r'r#*"(?:[^"])*"#*|"(?:[^"\\]|\\.)*"|\'(?:[^\'\\\n]|\\.)\'', _C_COMMENTS,
-    ),
-    "bash": _brace_rules(r"(?P<signature>(?:function\s+)?(?P<name>[\w:.-]+)\s*\(\))\s*(?=\{)", r"(?:[ \t]*#[^\n]*\n)+", r'"(?:[^"\\]|\\.)*"|\'[^\']*\'|\$\{[^{}\n]*\}', r"(?<=[\s;])#[^\n]*"),
-    "python": {
-        "file": many(alt(ref("unit"), ref("skip"))),
-        "unit": cap("function", seq(pat(r"(?P<indent>[ \t]*)(?:async[ \t]+)?def[ \t]+(?P<name>\w+)[ \t]*(?P<signature>" + _PARENS + r"(?:[ \t]*->[ \t]*[^\n:]+)?)[ \t]*:[ \t]*(?:#[^\n]*)?\n?"), ahead(opt(ref("string"))), ahead(ref("suite")))),
-        "string": seq(pat(r"\s*[rRuU]?"), cap("doc", pat(r'"""(?:[^"\\]|\\.|"(?!""))*"""|\'\'\'(?:[^\'\\]|\\.|\'(?!\'\'))*\'\'\'|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'', re.S))),
-        "suite": cap("body", pat(r"[^\n]*\n?")),
-        "skip": seq(no(pat(r"$(?!\n)")), _LINE),
-    },
-    "ruby": {
-        "file": many(alt(ref("unit"), ref("skip"))),
-        "unit": seq(opt(cap("doc", pat(r"(?:[ \t]*#[^\n]*\n)+"))), cap("function", seq(pat(r"(?P<indent>[ \t]*)(?P<signature>def[ \t]+(?:self\.)?(?P<name>\w+[?!=]?)(?:[ \t]*\([^()\n]*\))?)[^\n]*\n?"), ahead(ref("suite"))))),
-        "suite": cap("body", pat(r"[^\n]*\n?")),
-        "skip": seq(no(pat(r"$(?!\n)")), _LINE),
-    },
-}
-GRAMMARS["typescript"] = GRAMMARS["tsx"] = GRAMMARS["javascript"]
-
-
-def _indented_end(text: str, at: int, indent: str, closing: str | None) -> int:
-    """Where a body ends that is marked by indentation (``closing`` None) or by a closing word at the header's indentation."""
-    if closing is not None:
-        m = re.compile(rf"^{re.escape(indent)}{closing}\b[^\n]*", re.M).search(text, at)
-        return m.end() if m else len(text)
-    width = len(indent.expandtabs())
-    end = at
-    for m in re.compile(r"([ \t]*)([^\n]*)(?:\n|$)").finditer(text, at):
-        if m.start() == len(text):
-            break
-        if m.group(2).strip():
-            if len(m.group(1).expandtabs()) <= width and m.start() > at - 1 and not m.group(2).startswith("#"):
-                break
-            end = m.end()
-    return end
-
-
 def source_functions(text: str | None, language: str | None) -> list[tuple[str, int, str, str | None, int, int]]:
     """``(name, line, signature, documentation, start, end)`` of every function, in source order; offsets span header and body."""
-    rules = GRAMMARS.get(language or "")
-    if not text or not rules:
-        return []
-    got = Parse(rules, text).rule("file", 0)
-    out, doc, lines, counted = [], None, 1, 0
-    caps = list(got[1]) if got else []
-    i = 0
-    while i < len(caps):
-        kind, a, b = caps[i]
-        i += 1
-        if kind == "doc":
-            doc = text[a:b]
-            continue
-        if kind != "function":
-            continue
-        part: dict[str, tuple[int, int]] = {}
-        while i < len(caps) and caps[i][0] not in ("function",) and not (caps[i][0] == "doc" and language != "python"):
-            part.setdefault(caps[i][0], caps[i][1:])
-            i += 1
-        if language == "python":
-            doc = text[slice(*part["doc"])] if "doc" in part else None
-        if "indent" in part:
-            end = _indented_end(text, b, text[slice(*part["indent"])], None if language == "python" else "end")
-        else:
-            end = part["body"][1]
-        at = part["name"][0]
-        lines += text.count("\n", counted, at)
-        counted = at
-        out.append((text[slice(*part["name"])], lines, text[slice(*part["signature"])], doc, a, end))
-        doc = None
-    return out
+    return [(d.name, d.line, d.signature, d.doc, d.start, d.stop) for d in declarations(text, language) if d.what == "function"]
 
 
 # ---------------------------------------------------------------------------------------------------------
@@ -187,6 +82,8 @@ _PLACEHOLDER = re.compile(
 )
 #: A bare reference says nothing, but what follows it may.
 _SEE = re.compile(r"^see (?:also |the )*(?:parent|super|base|above|interface)?(?: \w+)?$|^see (?:also )?[`\w.(){}]+$", re.I)
+#: What closes a comment or string, where it stands behind text.
+_CLOSING = re.compile(r"[ \t]*(?:\*/|\"{3}|'{3})[ \t]*(?=\n|$)")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|(?<!\w)\d+(?:\.\d+)?")
 _SPLIT = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[^\W\d_]+")
 
@@ -215,7 +112,7 @@ def informative(doc: str | None, name: str | None, signature: str | None) -> boo
         return False
     own = {stem(w) for w in _SPLIT.findall(f"{name or ''} {signature or ''}")}
     whole = {(name or "").lower().replace("_", "")}
-    text = doc.replace("\r\n", "\n").replace("\r", "\n")
+    text = _CLOSING.sub("", doc.replace("\r\n", "\n").replace("\r", "\n"))
     got = Parse(DOC_RULES, text).rule("text", 0)
     hollow = -1
     for kind, a, b in got[1] if got else ():
@@ -261,22 +158,27 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for file_id, language, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             text = text and text.replace("\r\n", "\n")
-            rows.extend((file_id, n, line, s, d, a, b, text[a:b]) for n, line, s, d, a, b in source_functions(text, language))
+            rows.extend((file_id, n, line, s, _unquoted(d) if language == "python" else d, a, b, text[a:b]) for n, line, s, d, a, b in source_functions(text, language))
         columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
 
 
+def _unquoted(literal: str | None) -> str | None:
+    """A string without its quotes."""
+    if literal is None:
+        return None
+    width = 3 if literal[:3] in ('"""', "'''") and len(literal) >= 6 else 1
+    return literal[width:-width]
+
+
 def functions_in_source(files: DataFrame, contents: DataFrame, lang_map: DataFrame) -> DataFrame:
     """``(file_id, name, line, signature, doc, start, stop, code)`` of every function in the source texts.
 
     Offsets count characters of the text with ``\\r\\n`` read as ``\\n``.  Files of unknown extension and null
     texts give nothing; of different texts of one file the smallest counts.
     """
-    ext = F.lower(F.regexp_extract("path", r"(\.[^./\\]+)$", 1)).alias("ext")
-    langs = lang_map.where("ext is not null and lang is not null").groupBy(F.lower("ext").alias("ext")).agg(F.min("lang").alias("language"))
-    known = files.where("id is not null").select(F.col("id").alias("file_id"), ext).groupBy("file_id").agg(F.min("ext").alias("ext")).join(langs, "ext")
     texts = contents.where("content is not null and file_id is not null").groupBy("file_id").agg(F.min("content").alias("content"))
-    rows = texts.join(known, "file_id").select("file_id", "language", "content")
+    rows = texts.join(with_language(files, lang_map), "file_id").select("file_id", "language", "content")
     return rows.mapInArrow(_extract, "file_id long, name string, line int, signature string, doc string, start int, stop int, code string")
 
 
@@ -287,31 +189,58 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(keep)
 
 
+def _candidates(symbols: DataFrame) -> DataFrame:
+    """Functions and methods with a signature and a documentation, once each."""
+    kind = F.translate(F.lower(F.trim("kind")), "- ", "__")
+    rows = symbols.where(kind.isin(*KINDS) & F.col("id").isNotNull() & (F.trim("signature") != "") & (F.trim("docstring") != ""))
+    once = rows.groupBy("id").agg(F.min(F.struct("docstring", "name", "signature", "file_id", "line")).alias("s")).select("id", "s.*")
+    return once.select("id", "docstring", "name", "signature", F.col("file_id").cast("long").alias("file_id"), F.col("line").cast("int").alias("line"))
+
+
 def documented_functions(symbols: DataFrame) -> DataFrame:
     """``(id, docstring, name, signature, file_id, line)`` of functions and methods whose documentation says something.
 
     Kinds are compared without case, blanks and the kind of dash.  Symbols without id, signature or
     documentation don't count; of rows with one id the smallest counts.
     """
-    kind = F.translate(F.lower(F.trim("kind")), "- ", "__")
-    rows = symbols.where(kind.isin(*KINDS) & F.col("id").isNotNull() & (F.trim("signature") != "") & (F.trim("docstring") != ""))
-    once = rows.groupBy("id").agg(F.min(F.struct("docstring", "name", "signature", "file_id", "line")).alias("s")).select("id", "s.*")
-    schema = "id long, docstring string, name string, signature string, file_id long, line int"
-    return once.select("id", "docstring", "name", "signature", F.col("file_id").cast("long").alias("file_id"), F.col("line").cast("int").alias("line")).mapInArrow(_judge, schema)
+    return _candidates(symbols).mapInArrow(_judge, "id long, docstring string, name string, signature string, file_id long, line int")
 
 
 _CLEAN = r"(?m)^[ \t]*(?:/\*\*?|\*/|\*|//[/!]?|#+)[ \t]?|[ \t]*\*/[ \t]*$"
 
 
-def code_description_pairs(symbols: DataFrame, files: DataFrame, contents: DataFrame, lang_map: DataFrame) -> DataFrame:
-    """``(id, name, code, description, start, stop)``: documented functions with their source, where it is known, else their signature.
+def emitted_pairs(symbols: DataFrame, files: DataFrame, contents: DataFrame, lang_map: DataFrame) -> DataFrame:
+    """``(id, doc, name, signature, code, start, stop, origin)``: every candidate with the documentation to be judged.
 
-    A symbol meets the function of the same file, line and name; if a text doesn't have it there, the code is
-    the signature and the offsets are null.
+    A symbol meets the function of its name in its file's text that is nearest by line, the earlier one in a tie;
+    one without a line meets the first.  If that function has a comment or string of its own, that is the
+    documentation and ``origin`` is ``source``.  Where there is no text, the text has no such function (it is cut
+    off or another language) or none documented, it is the symbol's ``docstring`` and ``origin`` is ``symbol``; without
+    the function ``code`` is the signature and the offsets are null.
     """
-    kept = documented_functions(symbols)
     found = functions_in_source(files, contents, lang_map)
-    found = found.groupBy("file_id", "line", "name").agg(F.min_by(F.struct("code", "start", "stop"), "start").alias("f"))
-    return kept.join(found, ["file_id", "line", "name"], "left_outer").select(
-        "id", "name", F.coalesce("f.code", "signature").alias("code"), F.trim(F.regexp_replace("docstring", _CLEAN, "")).alias("description"), F.col("f.start").alias("start"), F.col("f.stop").alias("stop")
-    )
+    asked = _candidates(symbols)
+    # Symbols and functions of one name in one file, in the order of their lines, instead of all their pairs.
+    f = F.struct("line", "doc", "start", "stop", "code")
+    kind = found.select(f.alias("f")).schema["f"].dataType
+    # What has no name or file meets nothing, and would be one huge group.
+    placed = F.col("name").isNotNull() & F.col("file_id").isNotNull()
+    alone = asked.where(~placed).withColumn("f", F.lit(None).cast(kind))
+    both = asked.where(placed).select("id", "docstring", "name", "signature", "file_id", "line", F.lit(None).cast(kind).alias("f")).unionByName(found.select("name", "file_id", "line", f.alias("f")), allowMissingColumns=True)
+    order = Window.partitionBy("file_id", "name").orderBy(F.col("line").asc_nulls_first(), F.col("f.start").asc_nulls_first())
+    before = F.last("f", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("f", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    met = both.withColumn("before", before).withColumn("after", after).where("id is not null")
+    nearer = F.coalesce(F.col("after.line") - F.col("line") < F.col("line") - F.col("before.line"), F.col("before").isNull())
+    met = met.withColumn("f", F.when(nearer, F.col("after")).otherwise(F.col("before"))).drop("before", "after").unionByName(alone)
+    return met.select(
+        "id", F.coalesce("f.doc", "docstring").alias("doc"), "name", "signature", F.coalesce("f.code", "signature").alias("code"), F.col("f.start").alias("start"), F.col("f.stop").alias("stop"),
+        F.when(F.col("f.doc").isNotNull(), "source").otherwise("symbol").alias("origin"),
+    )
+
+
+def code_description_pairs(symbols: DataFrame, files: DataFrame, contents: DataFrame, lang_map: DataFrame) -> DataFrame:
+    """``(id, name, code, description, start, stop, origin)``: the emitted pairs whose documentation says something."""
+    pairs = emitted_pairs(symbols, files, contents, lang_map)
+    kept = pairs.mapInArrow(_judge, "id long, doc string, name string, signature string, code string, start int, stop int, origin string")
+    return kept.select("id", "name", "code", F.regexp_replace(F.regexp_replace("doc", _CLEAN, ""), r"^\s+|\s+$", "").alias("description"), "start", "stop", "origin")

@@ -19,8 +19,13 @@ def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     return code_description_pairs(table(spark, d, "symbols"), table(spark, d, "files"), table(spark, d, "file_contents"), table(spark, d, "lang_map"))
 
 
+def p2_origins(spark: SparkSession, d: str) -> DataFrame:
+    """How many pairs have their documentation from source text and how many from the symbol alone."""
+    return p2_pairs(spark, d).groupBy("origin").agg(F.count("*").alias("n_pairs"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """The symbols of those pairs."""
+    """The symbols of those pairs, by the documentation that the grammars found in the source."""
     return p2_pairs(spark, d).select("id")
 
 
@@ -77,7 +82,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spam(table(spark, d, "documents")).where("kind is not null").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p5_found, p5_rates, p6_found, p6_pairs, p6_all_pairs, p7_ids, p8_containers, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p2_origins, p5_found, p5_rates, p6_found, p6_pairs, p6_all_pairs, p7_ids, p8_containers, p9_found)}
 _HELD = r"""with k as (select distinct lower(trim(sha)) as sha, repo from commits where sha is not null and repo is not null),
 h as (select distinct k.repo, k.sha, regexp_replace(regexp_replace(replace(trim(regexp_replace(trim(file_path), '^"|"$', '', 'g')), '\', '/'), '/{2,}', '/', 'g'), '^(\./)+', '') as f
   from commit_files join k on lower(trim(commit_sha)) = k.sha where file_path is not null),
