@@ -121,3 +121,12 @@ def test_documentation_of_the_source_counts(spark):
     langs = spark.createDataFrame([("ruby", ".rb")], "lang string, ext string")
     got = {r.id: (r.description, r.origin, r.start is not None) for r in code_description_pairs(symbols, files, texts, langs).collect()}
     assert got == {1: ("Oldest first.", "source", True), 3: ("Never blocks.", "source", True), 4: ("UTC only.", "symbol", True), 5: ("UTC only.", "symbol", False), 6: ("UTC only.", "symbol", False)}
+
+
+def test_a_function_of_another_symbol_is_not_met(spark):
+    text = "# TODO\ndef f(x)\nend\n"
+    rows = [(1, 1, "f", "method", 2, "f(x)", None), (2, 1, "f", "method", 90, "f(y)", "Oldest first.")]
+    symbols = spark.createDataFrame(rows, "id long, file_id long, name string, kind string, line int, signature string, docstring string")
+    files, texts = spark.createDataFrame([(1, "a.rb")], "id long, path string"), spark.createDataFrame([(1, text)], "file_id long, content string")
+    langs = spark.createDataFrame([("ruby", ".rb")], "lang string, ext string")
+    assert [(r.id, r.description, r.origin) for r in code_description_pairs(symbols, files, texts, langs).collect()] == [(2, "Oldest first.", "symbol")]

@@ -189,12 +189,14 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(keep)
 
 
-def _candidates(symbols: DataFrame) -> DataFrame:
-    """Functions and methods with a signature and a documentation, once each."""
+def _functions(symbols: DataFrame) -> DataFrame:
+    """Functions and methods with a signature, once each."""
     kind = F.translate(F.lower(F.trim("kind")), "- ", "__")
-    rows = symbols.where(kind.isin(*KINDS) & F.col("id").isNotNull() & (F.trim("signature") != "") & (F.trim("docstring") != ""))
-    once = rows.groupBy("id").agg(F.min(F.struct("docstring", "name", "signature", "file_id", "line")).alias("s")).select("id", "s.*")
-    return once.select("id", "docstring", "name", "signature", F.col("file_id").cast("long").alias("file_id"), F.col("line").cast("int").alias("line"))
+    rows = symbols.where(kind.isin(*KINDS) & F.col("id").isNotNull() & (F.trim("signature") != ""))
+    # An id without documentation in its smallest row may have it in another.
+    some = F.when(F.trim("docstring") != "", F.col("docstring")).alias("docstring")
+    once = rows.groupBy("id").agg(F.coalesce(F.min(F.when(some.isNotNull(), F.struct(some, "name", "signature", "file_id", "line"))), F.min(F.struct(some, "name", "signature", "file_id", "line"))).alias("s"))
+    return once.select("id", "s.docstring", "s.name", "s.signature", F.col("s.file_id").cast("long").alias("file_id"), F.col("s.line").cast("int").alias("line"))
 
 
 def documented_functions(symbols: DataFrame) -> DataFrame:
@@ -203,7 +205,7 @@ def documented_functions(symbols: DataFrame) -> DataFrame:
     Kinds are compared without case, blanks and the kind of dash.  Symbols without id, signature or
     documentation don't count; of rows with one id the smallest counts.
     """
-    return _candidates(symbols).mapInArrow(_judge, "id long, docstring string, name string, signature string, file_id long, line int")
+    return _functions(symbols).where("docstring is not null").mapInArrow(_judge, "id long, docstring string, name string, signature string, file_id long, line int")
 
 
 _CLEAN = r"(?m)^[ \t]*(?:/\*\*?|\*/|\*|//[/!]?|#+)[ \t]?|[ \t]*\*/[ \t]*$"
@@ -212,30 +214,36 @@ _CLEAN = r"(?m)^[ \t]*(?:/\*\*?|\*/|\*|//[/!]?|#+)[ \t]?|[ \t]*\*/[ \t]*$"
 def emitted_pairs(symbols: DataFrame, files: DataFrame, contents: DataFrame, lang_map: DataFrame) -> DataFrame:
     """``(id, doc, name, signature, code, start, stop, origin)``: every candidate with the documentation to be judged.
 
-    A symbol meets the function of its name in its file's text that is nearest by line, the earlier one in a tie;
-    one without a line meets the first.  If that function has a comment or string of its own, that is the
-    documentation and ``origin`` is ``source``.  Where there is no text, the text has no such function (it is cut
-    off or another language) or none documented, it is the symbol's ``docstring`` and ``origin`` is ``symbol``; without
-    the function ``code`` is the signature and the offsets are null.
+    A symbol meets the function of its name and line in its file's text, else the nearest one by line that no other
+    symbol has for its own, the earlier one in a tie; one without a line meets the first of these.  If that function
+    has a comment or string of its own that isn't blank, that is the documentation and ``origin`` is ``source``.
+    Where there is no text, the text has no such function (it is cut off or in another language) or none documented,
+    it is the symbol's ``docstring`` and ``origin`` is ``symbol``; without the function ``code`` is the signature and
+    the offsets are null.  Symbols without documentation are no candidates, but have functions for their own.
     """
     found = functions_in_source(files, contents, lang_map)
-    asked = _candidates(symbols)
-    # Symbols and functions of one name in one file, in the order of their lines, instead of all their pairs.
+    asked = _functions(symbols)
     f = F.struct("line", "doc", "start", "stop", "code")
     kind = found.select(f.alias("f")).schema["f"].dataType
     # What has no name or file meets nothing, and would be one huge group.
     placed = F.col("name").isNotNull() & F.col("file_id").isNotNull()
     alone = asked.where(~placed).withColumn("f", F.lit(None).cast(kind))
-    both = asked.where(placed).select("id", "docstring", "name", "signature", "file_id", "line", F.lit(None).cast(kind).alias("f")).unionByName(found.select("name", "file_id", "line", f.alias("f")), allowMissingColumns=True)
+    # Symbols and functions of one name in one file, in the order of their lines, instead of all their pairs.
+    both = asked.where(placed).withColumn("f", F.lit(None).cast(kind)).unionByName(found.select("name", "file_id", "line", f.alias("f")), allowMissingColumns=True)
     order = Window.partitionBy("file_id", "name").orderBy(F.col("line").asc_nulls_first(), F.col("f.start").asc_nulls_first())
-    before = F.last("f", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("f", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    met = both.withColumn("before", before).withColumn("after", after).where("id is not null")
+    same = Window.partitionBy("file_id", "name", "line")
+    own, free = F.first("f", ignorenulls=True).over(same), F.when(F.max("id").over(same).isNull(), F.col("f"))
+    met = both.withColumn("own", own).withColumn("free", free)
+    before = F.last("free", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("free", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    met = met.withColumn("before", before).withColumn("after", after).where("docstring is not null")
     nearer = F.coalesce(F.col("after.line") - F.col("line") < F.col("line") - F.col("before.line"), F.col("before").isNull())
-    met = met.withColumn("f", F.when(nearer, F.col("after")).otherwise(F.col("before"))).drop("before", "after").unionByName(alone)
+    met = met.withColumn("f", F.coalesce("own", F.when(nearer, F.col("after")).otherwise(F.col("before")))).drop("own", "free", "before", "after")
+    met = met.unionByName(alone.where("docstring is not null"))
+    doc = F.when(F.trim(F.regexp_replace("f.doc", r"\s+", " ")) != "", F.col("f.doc"))
     return met.select(
-        "id", F.coalesce("f.doc", "docstring").alias("doc"), "name", "signature", F.coalesce("f.code", "signature").alias("code"), F.col("f.start").alias("start"), F.col("f.stop").alias("stop"),
-        F.when(F.col("f.doc").isNotNull(), "source").otherwise("symbol").alias("origin"),
+        "id", F.coalesce(doc, "docstring").alias("doc"), "name", "signature", F.coalesce("f.code", "signature").alias("code"), F.col("f.start").alias("start"), F.col("f.stop").alias("stop"),
+        F.when(doc.isNotNull(), "source").otherwise("symbol").alias("origin"),
     )
 
 
