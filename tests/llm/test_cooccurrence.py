@@ -62,3 +62,33 @@ def test_paths_and_hashes_in_other_spellings(spark):
 
 def test_empty(spark):
     assert cooccurrence(spark.createDataFrame([], P), spark.createDataFrame([], B)).count() == 0
+
+
+def test_pairs_of_chunks_are_keys_of_their_own(spark):
+    from weftline.llm.cooccurrence import _across
+
+    rows = [("b", "s", k, 40, list(range(k * 10, k * 10 + 10))) for k in range(40)]
+    chunks = spark.createDataFrame(rows, "basket string, scope string, chunk int, chunks int, c array<long>")
+    pairs = _across(chunks, 16)
+    assert pairs.count() == 40 * 39 // 2 * 100 == pairs.distinct().count() and pairs.where("a >= b").isEmpty()
+    # One basket, broadcasts off: its pairs are spread over the tasks.
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    adaptive = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = [n for n in _across(chunks, 16).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+        assert len(sizes) > 10 and max(sizes) < sum(sizes) / 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold") if adaptive is None else spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", adaptive)
+
+
+def test_items_of_one_hash_get_other_codes(spark):
+    from weftline.llm.cooccurrence import _coder
+
+    df = spark.createDataFrame([("s", "x"), ("s", "y")], "scope string, item string")
+    second = {r["item"]: r["h"] for r in df.select("item", F.xxhash64(F.lit(-1), "scope", "item").alias("h")).collect()}
+    codes = lambda c: {r["item"]: r["i"] for r in df.select("item", c(F.col("scope"), F.col("item")).alias("i")).collect()}
+    plain, other = codes(_coder(1, [])), codes(_coder(1, [second["x"]]))
+    assert plain["y"] == other["y"] and plain["x"] != other["x"]

@@ -71,3 +71,18 @@ def test_loss_bearing_tokens_are_the_assistants(spark):
     got = {r.key: (r.tokens, r.loss) for r in document_sizes(df).collect()}
     assert 0 < got[1][1] < got[1][0] == got[2][0] == got[2][1] and got[3] == got[4] == (0, 0)
     assert document_sizes(df).agg(F.count("*")).first()[0] == 4
+
+
+@pytest.mark.skipif(not os.path.exists(f"{TOKENIZERS}/byte_bpe_50k.tiktoken"), reason="no vocabularies here")
+def test_long_texts_are_measured_in_chunks(spark):
+    talk = "".join(f'{{"role": "{who}", "text": "{"word " * 40}{i}"}}\n' for i in range(30) for who in ("user", "assistant"))
+    rows = [(1, talk, "transcript"), (1, talk, "transcript"), (None, talk, None), (2, "no role " * 400, "transcript"), (3, "short", "notes"), (4, None, "transcript")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, doc_type string")
+    both = [sorted((tuple(r) for r in document_sizes(docs, chunk=chunk).collect()), key=str) for chunk in (500, 65536)]
+    assert both[0] == both[1] and len(both[0]) == 6
+    assert all(loss < tokens for _, tokens, loss in both[0][:2])
+
+
+def test_blocks_are_tasks(spark):
+    sizes = spark.createDataFrame([(i, 1 + i % 7, 1) for i in range(400)], "key long, tokens int, loss int")
+    assert pack(sizes, 20, 10, block_items=20).rdd.getNumPartitions() == 20

@@ -1,8 +1,8 @@
 """Items that appear together: pair counts and how far they exceed chance.
 
 Baskets are held as chunks of bounded size.  An ordinary basket is one chunk; a larger one is cut by a hash
-of its items, and each pair of its chunks is a task of its own, so no task ever holds a whole huge basket.
-Chunk pairs and ordinary pairs are counted together with map-side combination.
+of its items, and the pairs of its chunks are spread over tasks by basket and both chunk numbers, so no task ever
+holds a whole huge basket.  Chunk pairs and ordinary pairs are counted together with map-side combination.
 """
 
 from __future__ import annotations
@@ -15,6 +15,10 @@ from weftline.session import cut
 
 #: Expected items in a chunk; a pair of chunks yields at most its square.
 CHUNK = 256
+#: Pairs of chunks of huge baskets in a task.
+TASK_PAIRS = 64
+#: Items whose codes meet; far more than there can be among 10^12 items.
+MAX_ODD = 1_000_000
 
 
 def cooccurrence(pairs: DataFrame, baskets: DataFrame, min_count: int = 1, min_lift: float = 0.0, chunk: int = CHUNK) -> DataFrame:
@@ -42,31 +46,39 @@ def cooccurrence(pairs: DataFrame, baskets: DataFrame, min_count: int = 1, min_l
     right = right.select("basket", "scope", n_chunks.alias("chunks"), F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("chunk"))
     held = left.join(right, ["basket", "chunk"]).groupBy("basket", "chunk", "scope", "chunks").agg(F.collect_set("item").alias("items"))
     # Baskets of one chunk aren't needed by name any more.
-    held = cut(held.select(F.when(F.col("chunks") > 1, F.col("basket")).alias("basket"), "chunk", "scope", "items"))
+    held = cut(held.select(F.when(F.col("chunks") > 1, F.col("basket")).alias("basket"), "chunk", "chunks", "scope", "items"))
 
     sizes = held.groupBy("scope").agg((F.count(F.when(F.col("basket").isNull(), 1)) + F.count_distinct("basket")).alias("n"))
     single = held.select("scope", F.explode("items").alias("item")).groupBy("scope", "item").agg(F.count("*").alias("n_item"))
     items = cut(single.join(sizes, "scope").select("scope", "item", "n_item", "n"))
-    for seed in range(64):
-        # Items are coded by a hash that is checked to be different for each.
-        number = F.xxhash64(F.lit(seed), F.col("scope"), F.col("item"))
-        same = items.agg((F.count("*") - F.count_distinct(number)).alias("d")).first()["d"]
-        if not same:
+    # Items are coded by a hash.  The few whose hash another item has are known by a second hash and get another
+    # code, until all codes differ.
+    odd: list[int] = []
+    for seed in range(1, 9):
+        code_of = _coder(seed, odd)
+        items_coded = items.withColumn("i", code_of(F.col("scope"), F.col("item")))
+        if not items_coded.agg((F.count("*") - F.count_distinct("i")).alias("d")).first()["d"]:
             break
+        met = items_coded.groupBy("i").agg(F.count("*").alias("m")).where("m > 1")
+        known = items_coded.join(met, "i", "left_semi").select(F.xxhash64(F.lit(-1), "scope", "item").alias("h")).distinct().limit(MAX_ODD + 1).collect()
+        if len(known) > MAX_ODD:
+            raise RuntimeError("more items have one hash than chance allows")
+        odd = sorted({*odd, *(r["h"] for r in known)})
     else:
         raise RuntimeError("no hash tells the items apart")
-    items = items.withColumn("i", number)
+    items = items_coded
     hot = items.where(F.col("n_item") * F.lit(float(min_lift)) > F.col("n")).groupBy("scope").agg(F.collect_list("i").alias("hot"))
-    coded = held.select("basket", "chunk", "scope", F.transform("items", lambda x: F.xxhash64(F.lit(seed), F.col("scope"), x)).alias("c"))
+    coded = held.select("basket", "chunk", "chunks", "scope", F.transform("items", lambda x: code_of(F.col("scope"), x)).alias("c"))
     coded = coded.where("size(c) > 1 or basket is not null").join(hot, "scope", "left_outer")
-    coded = coded.select("basket", "chunk", "scope", F.sort_array(F.when(F.col("hot").isNull(), F.col("c")).otherwise(F.array_except("c", "hot"))).alias("c"))
+    coded = coded.select("basket", "chunk", "chunks", "scope", F.sort_array(F.when(F.col("hot").isNull(), F.col("c")).otherwise(F.array_except("c", "hot"))).alias("c"))
     rest = F.slice("c", F.col("k") + 2, F.size("c"))
     within = coded.where("size(c) > 1").select("c", F.posexplode("c").alias("k", "a")).select("a", F.explode(rest).alias("b"))
-    chunks = coded.where("basket is not null")
-    other = chunks.select("basket", "scope", F.col("chunk").alias("chunk2"), F.col("c").alias("c2"))
-    across = chunks.join(other, ["basket", "scope"]).where("chunk < chunk2").select("c2", F.explode("c").alias("x"))
-    across = across.select("x", F.explode("c2").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    counted = within.unionByName(across).groupBy("a", "b").agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= min_count)
+    counts = within
+    # Pairs of chunks, if any basket is that large.
+    n_pairs = large.agg(F.sum((F.col("chunks").cast("long") * (F.col("chunks") - 1) / 2).cast("long"))).first()[0]
+    if n_pairs:
+        counts = within.unionByName(_across(coded.where("basket is not null"), -(-n_pairs // TASK_PAIRS)))
+    counted = counts.groupBy("a", "b").agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= min_count)
     first = items.select(F.col("i").alias("a"), "scope", "n", F.col("item").alias("x"), F.col("n_item").alias("n_x"))
     second = items.select(F.col("i").alias("b"), F.col("item").alias("y"), F.col("n_item").alias("n_y"))
     out = counted.join(first, "a").join(second, "b")
@@ -80,6 +92,30 @@ def cooccurrence(pairs: DataFrame, baskets: DataFrame, min_count: int = 1, min_l
     )
 
 
+def _coder(seed: int, odd: list[int]):
+    """The code of an item in its scope: a hash, another one for those whose second hash is in ``odd``."""
+
+    def code(scope, item):
+        usual = F.xxhash64(F.lit(0), scope, item)
+        return F.when(F.xxhash64(F.lit(-1), scope, item).isin(odd), F.xxhash64(F.lit(seed), scope, item)).otherwise(usual) if odd else usual
+
+    return code
+
+
+def _across(chunks: DataFrame, tasks: int) -> DataFrame:
+    """``(a, b)`` for all items of different chunks of one basket: ``chunks(basket, scope, chunk, chunks, c)``.
+
+    Every pair of chunks is a key of its own, and the number of tasks follows that of pairs, as their product is
+    far larger than what is shuffled.
+    """
+    keys = ["basket", "scope", "i", "j"]
+    later, earlier = F.sequence(F.col("chunk") + 1, F.col("chunks") - 1), F.sequence(F.lit(0), F.col("chunk") - 1)
+    left = chunks.where("chunk < chunks - 1").select("basket", "scope", F.col("chunk").alias("i"), F.explode(later).alias("j"), "c").repartition(tasks, *keys)
+    right = chunks.where("chunk > 0").select("basket", "scope", F.explode(earlier).alias("i"), F.col("chunk").alias("j"), F.col("c").alias("d")).repartition(tasks, *keys)
+    pairs = left.join(right, keys).select("d", F.explode("c").alias("x")).select("x", F.explode("d").alias("y"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def co_change(commit_files: DataFrame, commits: DataFrame, min_count: int = 1, min_lift: float = 0.0, chunk: int = CHUNK) -> DataFrame:
     """``cooccurrence`` of the files changed by the commits of each repository.
 

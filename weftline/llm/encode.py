@@ -68,6 +68,23 @@ def _whole(shared):
     return run
 
 
+def _slices(chunk: int, overlap: int):
+    """Cut every text once, from its one copy, into overlapping chunks; a few at a time are given on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0)
+            for row, text in enumerate(batch.column(1)):
+                text = text.as_py()
+                n = max(1, -(-(len(text) - overlap) // chunk))
+                for first in range(0, n, 64):
+                    ks = range(first, min(n, first + 64))
+                    parts = pa.array([text[k * chunk : (k + 1) * chunk + overlap] for k in ks], pa.string())
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array([row] * len(ks))), pa.array(ks, pa.int32()), parts], ["key", "k", "text"])
+
+    return run
+
+
 def _chunks(shared, chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -114,9 +131,7 @@ def encode_corpus(docs: DataFrame, key: str, text: str, name: str = "byte_bpe_50
     long = F.coalesce(F.length("text") > chunk, F.lit(False))
     short = rows.where(~long).mapInArrow(_whole(shared), schema)
     large = rows.where(long)
-    k_last = F.greatest(F.ceil((F.length("text") - overlap) / chunk).cast("int") - 1, F.lit(0))
-    cuts = large.select("key", F.explode(F.sequence(F.lit(0), k_last)).alias("k"), "text")
-    cuts = cuts.select("key", "k", F.substring("text", F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("text"))
+    cuts = large.mapInArrow(_slices(chunk, overlap), f"key {kind}, k int, text string")
     arrays = "ids array<int>, head array<int>, head_at array<int>, tail array<int>, tail_at array<int>"
     pieces = cut(cuts.repartition("key", "k").mapInArrow(_chunks(shared, chunk, overlap), f"key {kind}, k int, {arrays}"))
     left = pieces.select("key", (F.col("k") + 1).alias("k"), "tail", "tail_at")
@@ -151,6 +166,6 @@ def decode_corpus(encoded: DataFrame, key: str, name: str = "byte_bpe_50k", fold
     return encoded.select(F.col(key).alias("key"), "ids").mapInArrow(run, f"key {kind}, text string").select(F.col("key").alias(key), "text")
 
 
-def token_counts(docs: DataFrame, key: str, text: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """``(key, tokens)`` of every text, 0 for empty and null ones."""
-    return encode_corpus(docs, key, text, name, folder).select(key, F.size("ids").alias("tokens"))
+def token_counts(docs: DataFrame, key: str, text: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS, chunk: int = 65536) -> DataFrame:
+    """``(key, tokens)`` of every text, 0 for empty and null ones; texts over ``chunk`` characters need distinct keys."""
+    return encode_corpus(docs, key, text, name, folder, chunk, min(2048, chunk // 2)).select(key, F.size("ids").alias("tokens"))

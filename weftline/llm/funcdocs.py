@@ -230,6 +230,8 @@ def emitted_pairs(symbols: DataFrame, files: DataFrame, contents: DataFrame, lan
     alone = asked.where(~placed).withColumn("f", F.lit(None).cast(kind))
     # Symbols and functions of one name in one file, in the order of their lines, instead of all their pairs.
     both = asked.where(placed).withColumn("f", F.lit(None).cast(kind)).unionByName(found.select("name", "file_id", "line", f.alias("f")), allowMissingColumns=True)
+    # One shuffle serves both kinds of windows.
+    both = both.repartition("file_id", "name")
     order = Window.partitionBy("file_id", "name").orderBy(F.col("line").asc_nulls_first(), F.col("f.start").asc_nulls_first())
     same = Window.partitionBy("file_id", "name", "line")
     own, free = F.first("f", ignorenulls=True).over(same), F.when(F.max("id").over(same).isNull(), F.col("f"))

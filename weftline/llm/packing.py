@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.encode import TOKENIZERS, encoder, vocabulary
+from weftline.llm.encode import TOKENIZERS, encoder, token_counts, vocabulary
 from weftline.session import cut
 
 #: Items that a block holds on average.
@@ -59,6 +59,11 @@ def pack_vectors(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return out
 
 
+def _own(text: str) -> str:
+    """The lines of a transcript that the assistant wrote."""
+    return "".join(line for line in text.splitlines(keepends=True) if '"role": "assistant"' in line)
+
+
 def _sizes(shared):
     """Tokens of each text and, of transcripts, those in the lines that the assistant wrote."""
 
@@ -69,21 +74,40 @@ def _sizes(shared):
             for text, talk in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 n = len(count(text)) if text else 0
                 tokens.append(n)
-                own = "".join(line for line in text.splitlines(keepends=True) if '"role": "assistant"' in line) if text and talk else ""
+                own = _own(text) if text and talk else ""
                 loss.append(min(n, len(count(own))) if own else n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int32()), pa.array(loss, pa.int32())], ["key", "tokens", "loss"])
 
     return run
 
 
-def document_sizes(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+def _both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every text the whole, and of transcripts the assistant's lines, each as a text of its own."""
+    for batch in batches:
+        for row, text, talk in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            own = _own(text) if talk else ""
+            texts = [text, own] if own else [text]
+            yield pa.RecordBatch.from_arrays([pa.array([f"{row}{'to'[i]}" for i in range(len(texts))]), pa.array(texts, pa.string())], ["part", "text"])
+
+
+def document_sizes(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZERS, chunk: int = 65536) -> DataFrame:
     """``(key, tokens, loss)`` of ``docs(doc_id, text, doc_type)``; null and empty texts have 0 tokens.
 
-    Loss-bearing are, in transcripts with lines by an assistant, the tokens of those lines, else all tokens.
+    Loss-bearing are, in transcripts with lines by an assistant, the tokens of those lines, else all tokens.  Texts
+    over ``chunk`` characters are encoded in chunks, so no task encodes a huge one alone.
     """
     shared = vocabulary(docs.sparkSession, name, folder)
     rows = docs.select(F.col("doc_id").alias("key"), "text", F.coalesce(F.col("doc_type") == "transcript", F.lit(False)).alias("talk"))
-    return rows.mapInArrow(_sizes(shared), "key long, tokens int, loss int")
+    long = F.coalesce(F.length("text") > chunk, F.lit(False))
+    sizes = rows.where(~long).mapInArrow(_sizes(shared), "key long, tokens int, loss int")
+    # Rows are numbered in a written table, as keys may be null or repeated.
+    large = cut(rows.where(long).select("key", "text", "talk", F.monotonically_increasing_id().alias("row")))
+    if large.isEmpty():
+        return sizes
+    counted = token_counts(large.select("row", "text", "talk").mapInArrow(_both, "part string, text string"), "part", "text", name, folder, chunk)
+    which = F.substring("part", -1, 1)
+    per_row = counted.groupBy(F.expr("cast(left(part, length(part) - 1) as bigint)").alias("row")).agg(F.max(F.when(which == "t", F.col("tokens"))).alias("tokens"), F.max(F.when(which == "o", F.col("tokens"))).alias("own"))
+    return sizes.unionByName(large.select("row", "key").join(per_row, "row").select("key", "tokens", F.least("tokens", F.coalesce("own", "tokens")).alias("loss")))
 
 
 def pack(sizes: DataFrame, capacity: int = 2048, max_segments: int = 64, max_loss: int | None = None, block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -118,4 +142,5 @@ def pack(sizes: DataFrame, capacity: int = 2048, max_segments: int = 64, max_los
         return pdf.assign(container=container)[["key", "part", "container", "start", "tokens", "loss"]]
 
     block = F.pmod(F.xxhash64("key", "part", "start"), F.lit(blocks)).alias("block")
-    return items.select("*", block).groupBy("block").applyInPandas(fill, PLACED)
+    # As many tasks as blocks: filling costs far more than its bytes, by which tasks would be put together.
+    return items.select("*", block).repartition(blocks, "block").groupBy("block").applyInPandas(fill, PLACED)
