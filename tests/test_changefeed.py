@@ -110,3 +110,41 @@ def test_changes_are_published_together(spark, tmp_path):
     assert publish_changes(spark.createDataFrame([entry("a", 1, "x"), entry("b", 1, "y")], S), store) == 1
     assert publish_changes(spark.createDataFrame([entry("a", 1, "x"), entry("a", 2, None, "delete")], S), store) == 2
     assert store.read("files").count() == 0 and sorted(r.path for r in store.read("files", 1).collect()) == ["a", "b"]
+
+
+@pytest.mark.parametrize("width", [3, 65_536])
+def test_slots_against_all_pairs(spark, width, monkeypatch):
+    from weftline.operators import changefeed
+
+    monkeypatch.setattr(changefeed, "RANGE", width)
+    rng, rows = random.Random(width), []
+    for v in range(300):
+        path = rng.choice(["a", "b", "c"])
+        rows.append(("r", path, v // 2, rng.choice(["x", "y", "z", None]), rng.choice(["x", "y", "z"]), rng.random() < 0.2))
+    known = spark.createDataFrame(rows, "repo string, path string, v long, before string, sha string, dead boolean")
+    want = {}
+    for path in "abc":
+        for content in "xyz":
+            ins = {v for _, p, v, _, sha, dead in rows if p == path and sha == content and not dead}
+            outs = {v for _, p, v, before, _, _ in rows if p == path and before == content}
+            still = [v for v in ins if not any(w > v and not any(v < u < w for u in ins) for w in outs)]
+            if ins:
+                want[path, content] = max(still or ins)
+    asked = spark.createDataFrame([("r", p, c) for p in "abcd" for c in "xyz"], "repo string, path string, content string")
+    assert {(r.path, r.content): r.v for r in changefeed._slots(known, asked).collect()} == want
+
+
+def test_a_file_that_goes_to_and_fro(spark):
+    n = 100_000
+    feed = spark.range(n).selectExpr(
+        "'r' as repo", "cast(id as string) as id", "'2026-01-01T00:00:00Z' as ts", "'upsert' as op",
+        "named_struct('path', 'a', 'content_hash_before', case when id % 2 = 0 then 'y' else 'x' end) as args",
+        "cast(id as int) as prev_user_version", "case when id % 2 = 0 then 'x' else 'y' end as content_sha", "false as ack",
+    )
+    last = spark.createDataFrame([("r", "z", "2026-01-01T00:00:00Z", "upsert", ("a", "y"), None, "end", False)], "repo string, id string, ts string, op string, args struct<path: string, content_hash_before: string>, prev_user_version int, content_sha string, ack boolean")
+    assert [(r.path, r.content_sha) for r in apply_changes(feed.unionByName(last)).collect()] == [("a", "end")]
+
+
+def test_long_chains_without_versions(spark):
+    rows = [entry("a", 1, "c0")] + [entry("a", None, f"c{k + 1}", before=f"c{k}") for k in range(12)]
+    assert state(spark, rows) == {("r", "a"): "c12"}

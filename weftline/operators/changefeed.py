@@ -10,15 +10,22 @@ is therefore spread over all tasks first.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.session import cut, drop
+from weftline.session import cut, drop, new_folder
+from weftline.sources.snapshots import SnapshotStore
 
 STATE = "repo string, path string, v bigint, s bigint, sha string, dead boolean"
 
+#: Partial states that a bucket gets on average.
+BUCKET_ROWS = 50_000
+#: Versions of one file that are looked at together.
+RANGE = 65_536
+
 _CREATE = "CREATE TABLE state (repo VARCHAR, path VARCHAR, v BIGINT, s BIGINT, sha VARCHAR, dead BOOLEAN, PRIMARY KEY (repo, path))"
 _UPSERT = """
 INSERT INTO state
@@ -78,39 +85,59 @@ def place_unversioned(changes: DataFrame) -> DataFrame:
         drop(lost)
         return known.select("repo", "path", "v", F.lit(0).cast("long").alias("s"), "sha", "dead")
     want = lost.where("before is not null").select("repo", "path", F.col("before").alias("content")).distinct()
-    key = ["repo", "path", "content"]
-    # Comings and goings of those contents only; one content of one file is a small group even in a hot file.
-    come = known.where("not dead").select("repo", "path", F.col("sha").alias("content"), "v", F.lit(True).alias("come"))
-    gone = known.where("before is not null").select("repo", "path", F.col("before").alias("content"), "v", F.lit(False).alias("come"))
-    slots = (
-        come.unionByName(gone).join(want, key, "left_semi").groupBy(*key)
-        .agg(F.collect_set(F.when(F.col("come"), F.col("v"))).alias("ins"), F.collect_set(F.when(~F.col("come"), F.col("v"))).alias("outs"))
-        .where("size(ins) > 0")
-        .select(*key, "ins", F.expr("filter(ins, v -> not exists(outs, w -> w > v and not exists(ins, u -> u > v and u < w)))").alias("open"))
-        .select(*key, F.coalesce(F.array_max("open"), F.array_max("ins")).alias("v"))
-    )
+    slots = _slots(known, want)
     at = cut(
         lost.join(slots.withColumnRenamed("content", "before"), ["repo", "path", "before"], "left_outer")
         .select("repo", "path", "before", "sha", "dead", "ts", "v", F.when(F.col("v").isNotNull(), F.lit(1).cast("long")).alias("s"))
     )
+    # Entries that build on unversioned ones follow in rounds; each writes only what it places.
+    placed, new, rest = [at.where("v is not null")], at.where("v is not null"), at.where("v is null")
     while True:
-        bases = at.where("v is not null and not dead").groupBy("repo", "path", F.col("sha").alias("before")).agg(F.max(F.struct("v", "s")).alias("b"))
-        moved = at.where("v is null").join(bases, ["repo", "path", "before"])
-        if moved.isEmpty():
-            break
-        at, old = cut(
-            at.join(bases.withColumnRenamed("b", "base"), ["repo", "path", "before"], "left_outer").select(
-                "repo", "path", "before", "sha", "dead", "ts",
-                F.coalesce("v", "base.v").alias("v"), F.coalesce("s", F.col("base.s") + 1).alias("s"),
+        bases = new.where("not dead").groupBy("repo", "path", F.col("sha").alias("before")).agg(F.max(F.struct("v", "s")).alias("base"))
+        new = cut(
+            rest.join(bases, ["repo", "path", "before"]).select(
+                "repo", "path", "before", "sha", "dead", "ts", F.col("base.v").alias("v"), (F.col("base.s") + 1).alias("s")
             )
-        ), at
-        drop(old)
+        )
+        if new.isEmpty():
+            break
+        placed.append(new)
+        done = new.select("repo", "path", "before").distinct()
+        rest = rest.join(done, ["repo", "path", "before"], "left_anti")
+        if len(placed) % 8 == 0:
+            # So that the plan doesn't grow with the length of chains.
+            rest = cut(rest)
+            placed = [cut(reduce(DataFrame.unionByName, placed))]
+    at = reduce(DataFrame.unionByName, placed, rest)
     drop(lost)
     when = F.coalesce(F.unix_millis(F.try_to_timestamp(F.col("ts"))), F.lit(0))
     at = at.select("repo", "path", F.coalesce("v", F.lit(-1)).alias("v"), F.coalesce("s", when).alias("s"), "sha", "dead")
     return known.select("repo", "path", "v", F.lit(0).cast("long").alias("s"), "sha", "dead").unionByName(at)
 
 
+def _slots(known: DataFrame, want: DataFrame) -> DataFrame:
+    """``(repo, path, content, v)``: for each wanted content the version that an entry built on it follows.
+
+    That is the last version at which it came and that no later one is known to have left before it came again,
+    else the last at which it came.  A file may go to and fro between two contents in a third of all entries, so
+    its versions are looked at in ranges of ``RANGE``, and then only one row per range.
+    """
+    key = ["repo", "path", "content"]
+    come = known.where("not dead").select("repo", "path", F.col("sha").alias("content"), "v", F.lit(True).alias("come"), F.lit(False).alias("gone"))
+    gone = known.where("before is not null").select("repo", "path", F.col("before").alias("content"), "v", F.lit(False).alias("come"), F.lit(True).alias("gone"))
+    block = F.floor(F.col("v") / RANGE).alias("block")
+    turns = come.unionByName(gone).join(want, key, "left_semi").groupBy(*key, block, "v").agg(F.max("come").alias("come"), F.max("gone").alias("gone"))
+    turns = turns.withColumn("left", F.lead("gone").over(Window.partitionBy(*key, "block").orderBy("v")))
+    # Per range: its first turn, whether the last coming and the last open one, as far as the range shows.
+    coming = F.when(F.col("come"), F.col("v"))
+    ranges = turns.groupBy(*key, "block").agg(
+        F.min_by("gone", "v").alias("first"), F.max(coming).alias("last"), F.max(F.when(~F.col("left"), coming)).alias("open"), F.max(F.when(F.col("left").isNull(), coming)).alias("end")
+    )
+    after = F.lead("first").over(Window.partitionBy(*key).orderBy("block"))
+    ranges = ranges.withColumn("open", F.greatest("open", F.when(~F.coalesce(after, F.lit(False)), F.col("end"))))
+    return ranges.groupBy(*key).agg(F.coalesce(F.max("open"), F.max("last")).alias("v")).where("v is not null")
+
+
 def apply_changes(feed: DataFrame, tombstones: bool = False) -> DataFrame:
     """The files that exist after all changes: ``(repo, path, content_sha)``, one row per file.
 
@@ -121,8 +148,9 @@ def apply_changes(feed: DataFrame, tombstones: bool = False) -> DataFrame:
     gives an empty result; extra columns are ignored.
     """
     changes = place_unversioned(normalise(feed)).select("repo", "path", "v", "s", "sha", "dead")
-    partial = changes.mapInArrow(_upsert, STATE)
-    state = partial.repartition("repo", "path").mapInArrow(_upsert, STATE)
+    partial = cut(changes.mapInArrow(_upsert, STATE))
+    buckets = max(1, -(-partial.count() // BUCKET_ROWS))
+    state = partial.repartition(buckets, "repo", "path").mapInArrow(_upsert, STATE)
     if tombstones:
         return state.select("repo", "path", F.col("sha").alias("content_sha"), F.col("dead").alias("deleted"), F.col("v").alias("version"))
     return state.where("not dead").select("repo", "path", F.col("sha").alias("content_sha"))
@@ -134,3 +162,10 @@ def publish_changes(feed: DataFrame, store, relation: str = "files") -> int:
     All buckets are written beside the current version and become visible together, by one rename.
     """
     return store.publish({relation: apply_changes(feed)})
+
+
+def current_files(feed: DataFrame) -> DataFrame:
+    """``apply_changes``, published in the shared folder and read from the published version."""
+    store = SnapshotStore(feed.sparkSession, new_folder(feed.sparkSession))
+    publish_changes(feed, store)
+    return store.read("files")

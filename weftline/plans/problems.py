@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators.changefeed import apply_changes
+from weftline.operators.changefeed import current_files
 from weftline.operators.hierarchy import all_descendants, descendants, symbol_hierarchy
 from weftline.operators.loglines import log_entries, markers, whole_entries
 from weftline.session import table
@@ -45,8 +45,8 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """The files that exist after all changes, with their last content."""
-    return apply_changes(table(spark, d, "wal_entries"))
+    """The files that exist after all changes, with their last content, as published."""
+    return current_files(table(spark, d, "wal_entries"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -85,12 +85,12 @@ SQL: dict[str, str] = {
     select cast(a as bigint) as ancestor, id as descendant, cast(depth - p as bigint) as distance from x""",
     "p1_below": _PARENTS + _BELOW + " select ancestor, descendant, distance from pairs",
     "p1_counts": _PARENTS + _BELOW + " select a.id, count(p.ancestor) as n_below from a left join pairs p on p.ancestor = a.id group by 1",
-    # Entries without a version follow the change that left the content they were made on; chains of them in steps.
+    # Entries without a version follow the change that left the content they were made on; chains of them in steps, of which there are as many as such entries at most.
     "p3_found": """with recursive e as (select distinct repo, args.path as path, prev_user_version as v, args.content_hash_before as b, case when lower(op) like '%delete%' then null else content_sha end as sha, lower(op) like '%delete%' as dead
       from wal_entries where not coalesce(ack, false) and args.path is not null and (lower(op) like '%delete%' or content_sha is not null)),
     k as (select *, 0 as s from e where v is not null), n as (select * from e where v is null),
-    c as (select repo, path, v, s, sha, dead from k union all
-      select n.repo, n.path, c.v, c.s + 1, n.sha, n.dead from c join n on n.repo = c.repo and n.path = c.path and n.b = c.sha where c.s < 50),
+    c as (select repo, path, v, s, sha, dead from k union
+      select n.repo, n.path, c.v, c.s + 1, n.sha, n.dead from c join n on n.repo = c.repo and n.path = c.path and n.b = c.sha where c.s < (select count(*) from n)),
     o as (select c.*, exists (select 1 from k x where c.s > 0 and x.repo = c.repo and x.path = c.path and x.b = c.sha and x.v > c.v) as passed from c),
     r as (select repo, path, sha, dead, row_number() over (partition by repo, path order by v desc, s desc, dead, sha desc) as i from o)
     select repo, path, sha as content_sha from r where i = 1 and not dead""",

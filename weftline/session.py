@@ -60,6 +60,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/") + "/weftline"
 
 
+def new_folder(spark: SparkSession) -> str:
+    """The path of a folder in the shared folder that isn't there yet; it is deleted when the process ends."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return it read back, its lineage cut.
 
@@ -68,10 +75,9 @@ def cut(df: DataFrame) -> DataFrame:
     operator no longer needs it gives to ``drop``; the rest go when the process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    _written[path] = spark
     out._weftline_path = path
     return out
 
