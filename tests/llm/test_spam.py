@@ -51,3 +51,26 @@ def test_copies_and_empty_table(spark):
 def test_measures_of_nothing_and_of_much():
     assert measure(None) == measure("") == measure(" \n")
     assert measure("a" * 300_000)[1] == 1 and measure("word " * 200_000)[6] > 0.99
+
+
+#: Prose in languages without a list of function words, and stuffing that is shaped like sentences.
+POLISH = "Rano poszedłem do sklepu, bo w domu zabrakło już chleba. Sprzedawczyni opowiadała właśnie sąsiadce długą historię o swoim psie. Nikt się nie spieszył, więc usiadłem przy oknie i czytałem gazetę. Po godzinie zaczął padać deszcz, a ulica szybko opustoszała. Wieczorem wróciłem pieszo przez park, choć było zimno. "
+RUSSIAN = "Утром мы вышли из дома и долго шли вдоль реки. Лодочник сидел у причала и чинил старую сеть. Он рассказал нам, что весной вода поднялась почти до крыльца. Никто тогда не знал, сколько продлится разлив. К вечеру мы вернулись усталые, но довольные прогулкой. "
+ITALIAN = "Questa mattina il treno è arrivato con mezz'ora di ritardo alla stazione. Molti viaggiatori aspettavano sotto la pioggia senza ombrello. Una signora anziana raccontava storie della sua giovinezza ai nipoti. Finalmente le porte si aprirono e tutti trovarono posto. Durante il viaggio guardai le colline oltre il finestrino. "
+
+
+def test_prose_of_other_languages_and_sentences_of_keywords(spark):
+    fine = [POLISH, RUSSIAN, ITALIAN, POLISH + RUSSIAN + ITALIAN]
+    stuffed = ["Buy the best cheap shoes online. " * 30, "Buy the best cheap shoes online today. " * 100, "Лучшие кроссовки купить дешево онлайн сегодня. " * 40, "tanie buty, buty online, tanie buty sklep, buty sklep, " * 12]
+    df = spark.createDataFrame(list(enumerate(fine + stuffed)), "doc_id long, text string")
+    got = {r.doc_id: r.kind for r in spam(df).collect()}
+    assert [got[i] for i in range(8)] == [None] * 4 + ["keywords"] * 4
+
+
+def test_thresholds_come_from_all_lengths(spark):
+    from weftline.llm.spam import calibrate, spam_measures
+
+    texts = [PROSE * k + f"It is the {i}th note that we have kept since {i} was new to us all. " for i in range(25) for k in (1, 2)] + [f"We have seen that {w} was moved to the shelf because nobody knew where it should be kept. " * 1 for w in WORDS]
+    usual = calibrate(spam_measures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    rows = {(r.language, r.size): r for r in usual.collect()}
+    assert rows[None, None].n == rows["en", None].n == 55 and len([1 for lang, size in rows if lang == "en" and size is not None]) >= 2
