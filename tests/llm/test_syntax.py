@@ -79,3 +79,55 @@ def test_operator(spark):
     rates = {(r.repo, r.language): (r.n_files, r.n_invalid, r.rate) for r in fault_rates(checked_files(files, texts, langs)).collect()}
     assert rates == {("r", "python"): (2, 1, 0.5), (None, "bash"): (1, 1, 1.0)}
     assert checked_files(files.limit(0), texts, langs).count() == 0 and checked_files(files, texts.limit(0), langs).count() == 0
+
+
+# Everyday code that was taken for faulty, and faults inside of statements.
+VALID = [
+    ('bash','x=1; echo $x\n'),
+    ('bash','IFS=,; read a b\n'),
+    ('bash','a=(1 2); b=3\n'),
+    ('bash','for ((i=0;i<3;i++)); do echo $i; done\n'),
+    ('tsx','const a = <p>Hello there</p>;\n'),
+    ('javascript',"function A() { return <p>Don't stop</p>; }\n"),
+    ('javascript','const x = <ul>{xs.map((x) => <li key={x}>It\'s {x}</li>)}</ul>;\n'),
+    ('javascript','if (a < b) { c() }\nfor (let i = 0; i < n; i++) { x = y >z }\n'),
+    ('tsx','const f = <T,>(x: T) => x;\nconst g = <T extends A>(x: T) => x;\nconst m = new Map<string, number>();\n'),
+    ('javascript','if (x) /ab c/.test(y)\n'),
+    ('ruby','x = "a #{h["k"]} b"\n'),
+    ('ruby','x = "a #{h.map { |k| "#{k}" }} b"\n'),
+    ('java','void main() { x(); }\n'),
+    ('java','class A { String f(int a) { return a > 0 ? "x" : "y"; } List<?> l; }\n'),
+    ('typescript','let a: Array<number>;\nlet b = c!;\nx ||= 1; y ??= 2; z **= 3;\ntype M = { -readonly [K in keyof T]-?: T[K] };\n'),
+    ('go','package p\nfunc f() { x := *p; y += *q; for {}; return }\n'),
+    ('rust','fn f() { let x = *p + *q; for i in 0..=5 {} let c = || 5; g(|a| a, ||{}); }\n'),
+    ('bash','if [ $x = 1 ]; then y=2; fi\nx=1 cmd; a=b c=d; f() { x=1; }\n'),
+]
+INVALID = [
+    ('javascript','let x = ;\n'),
+    ('javascript','const x = 5 +* 3\n'),
+    ('java','class A { int f() { return 1 +; } }\n'),
+    ('go','package p\nfunc f() { x := 5 + ; }\n'),
+    ('rust','fn f() { let x 5; }\n'),
+    ('ruby','def f\n  5 +\nend\n'),
+    ('bash','; echo\n'),
+    ('bash','for ((i=0; do\n'),
+    ('javascript','const a = <p>Hello</div>;\n'),
+    ('ruby','x = "a #{h["k"]} b\n'),
+    ('tsx','const a = <p>Hello\n'),
+]
+
+
+@pytest.mark.parametrize(("language", "text"), VALID)
+def test_everyday_code_is_valid(language, text):
+    assert check(text, language) is None
+
+
+@pytest.mark.parametrize(("language", "text"), INVALID)
+def test_faults_inside_statements(language, text):
+    assert check(text, language)
+
+
+def test_deep_texts_end():
+    assert check("x = " + "$(" * 20_000, "bash") is None or check("$(" * 50, "bash")
+    assert check("const a = " + "<b>" * 20_000 + "</b>" * 20_000 + ";", "javascript") is None
+    assert check('x = "' + '#{"' * 5_000 + '"}' * 5_000 + '"', "ruby") is None

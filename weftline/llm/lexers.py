@@ -83,12 +83,88 @@ def _template(text: str, at: int) -> int:
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 
 
+#: What may start an element: a tag or fragment, but no type parameter of an arrow function.
+_JSX_START = re.compile(r"<(?:>|[A-Za-z_$][\w$.:-]*(?=[\s/>])(?!\s+extends\b)(?!\s*>\s*\())")
+_JSX_TAG = re.compile(r"</?\s*(?P<name>[A-Za-z_$][\w$.:-]*)?")
+
+
+def _value(tokens: list[tuple[str, str, int]]) -> bool:
+    """Whether a value ends here, so that ``<`` compares."""
+    last = next((t for t in reversed(tokens) if t[0] != "nl"), ("nl", "", 0))
+    return last[0] in ("num", "str") or last[1] in (")", "]", "}") or (last[0] == "word" and last[1] not in _JS_LEADERS)
+
+
+def _jsx(text: str, at: int) -> int:
+    """The offset after the element that starts at ``at``, or -1 if its tags don't match or it doesn't end.
+
+    A stack holds what is open: names of elements, ``<`` inside of a tag, ``{`` inside of code.
+    """
+    stack: list[tuple[str, str]] = []
+    i, n = at, len(text)
+    while i < n:
+        c = text[i]
+        top = stack[-1][0] if stack else ""
+        if top == "<":
+            if c in "\"'":
+                i = text.find(c, i + 1)
+                if i < 0:
+                    return -1
+            elif c == "{":
+                stack.append(("{", ""))
+            elif text.startswith("/>", i):
+                stack.pop()
+                i += 1
+                if not stack:
+                    return i + 1
+            elif c == ">":
+                stack[-1] = ("element", stack[-1][1])
+        elif top == "{":
+            if c in "\"'" and (m := re.compile(_DQ if c == '"' else _SQ).match(text, i)):
+                i = m.end() - 1
+            elif c == "`":
+                i = _template(text, i) - 1
+                if i < 0:
+                    return -1
+            elif text.startswith("//", i) or text.startswith("/*", i):
+                m = re.compile(_C_COMMENT).match(text, i)
+                if not m:
+                    return -1
+                i = m.end() - 1
+            elif c == "{":
+                stack.append(("{", ""))
+            elif c == "}":
+                stack.pop()
+            elif c == "<" and (m := _JSX_START.match(text, i)) and re.search(r"(?:[=(,:?&|>{\[]|\breturn)\s*$", text[max(0, i - 200) : i]):
+                stack.append(("<", _JSX_TAG.match(text, i).group("name") or ""))
+                i = _JSX_TAG.match(text, i).end() - 1
+        elif c == "{":
+            stack.append(("{", ""))
+        elif text.startswith("</", i):
+            m = re.compile(r"</\s*([\w$.:-]*)\s*>").match(text, i)
+            if not m or not stack or stack[-1][1] != m.group(1):
+                return -1
+            stack.pop()
+            i = m.end() - 1
+            if not stack:
+                return i + 1
+        elif c == "<":
+            m = _JSX_TAG.match(text, i)
+            if not m.group("name") and not text.startswith("<>", i):
+                return -1
+            stack.append(("<", m.group("name") or ""))
+            i = m.end() - 1
+        i += 1
+    return -1
+
+
 def _braced(text: str, language: str) -> tuple[list[tuple[str, str, int]], Fault | None]:
     """Tokens of a brace language without blanks and comments, and the first fault of the lexer and its stack."""
     pattern, conflicts = LEXERS["javascript" if language in ("typescript", "tsx") else language], _starts(text)
     script = language in ("javascript", "typescript", "tsx")
     tokens: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, int]] = []
+    marked = language in ("javascript", "tsx")
+    stack: list[tuple[str, int, bool]] = []
+    condition = False
     i, n = 0, len(text)
     while i < n:
         if i in conflicts and text[i] in "<=>|":
@@ -117,15 +193,20 @@ def _braced(text: str, language: str) -> tuple[list[tuple[str, str, int]], Fault
             kind, piece = "str", "`"
         elif kind == "op" and script and piece[0] == "/":
             last = tokens[-1] if tokens else ("nl", "\n", 0)
-            value = last[0] in ("num", "str") or last[1] in (")", "]", "}") or (last[0] == "word" and last[1] not in _JS_LEADERS)
+            value = last[0] in ("num", "str") or (last[1] == ")" and not condition) or last[1] in ("]", "}") or (last[0] == "word" and last[1] not in _JS_LEADERS)
             if not value and (r := _REGEX.match(text, i)):
                 kind, piece, end = "str", "/", r.end()
+        elif kind == "op" and marked and piece[0] == "<" and _JSX_START.match(text, i) and not _value(tokens):
+            end = _jsx(text, i)
+            if end < 0:
+                return tokens, ("unbalanced", i)
+            kind, piece = "str", "<"
         elif kind == "open":
-            stack.append((piece, i))
+            stack.append((piece, i, piece == "(" and bool(tokens) and tokens[-1][1] in ("if", "while", "for", "with") and (len(tokens) < 2 or tokens[-2][1] != ".")))
         elif kind == "close":
             if not stack or stack[-1][0] != _PAIRS[piece]:
                 return tokens, ("unbalanced", i)
-            stack.pop()
+            condition = stack.pop()[2]
         elif kind == "odd" and not (piece == "﻿" and i == 0):
             return tokens, ("stray character", i)
         if kind not in ("ws", "com", "odd"):
@@ -150,6 +231,25 @@ def _follow(tokens: list[tuple[str, str, int]], may_lead: frozenset[str], may_fo
     return None
 
 
+# Operators that need an operand behind them in each brace language.
+_NEEDY = frozenset("= := += -= *= /= %= == != <= >= / % ^ + -".split())
+_SHUT = frozenset("; ) ] } ,".split())
+
+
+def _operands(solid: list[tuple[str, str, int]], plain_star: bool) -> Fault | None:
+    """The first operator without an operand: before a closing sign, or with ``plain_star`` (no pointers) before ``*``, ``/`` or ``%``."""
+    before = ("", -1)
+    for (k1, t1, at), (k2, t2, _) in zip(solid, solid[1:]):
+        double, before = (t1 in "+-" and before == (t1, at - 1)), (t1, at)
+        if k1 != "op" or t1 not in _NEEDY or double:
+            continue
+        if t2 in _SHUT and k2 in ("op", "close"):
+            return ("misplaced operator", at)
+        if plain_star and k2 == "op" and t2 in ("*", "/", "%") and t1 in ("+", "-", "/", "%", "="):
+            return ("misplaced operator", at)
+    return None
+
+
 def _script(text: str, language: str) -> Fault | None:
     tokens, fault = _braced(text, language)
     if fault:
@@ -160,6 +260,8 @@ def _script(text: str, language: str) -> Fault | None:
     solid = [t for t in tokens if t[0] != "nl"]
     if not solid:
         return None
+    if fault := _operands(solid, True):
+        return fault
     if solid[0][1] == "<" and (len(solid) < 2 or solid[1][1] in ("!", "/", "?") or language not in ("javascript", "tsx")):
         return ("misplaced operator", 0)
     for i, (_, t, at) in enumerate(solid):
@@ -264,6 +366,8 @@ def _go(text: str) -> Fault | None:
     if header or (last[0] == "op" and last[1] not in ("++", "--", ";")) or last[1] in _GO_TOP:
         return ("premature end", last[2])
     lead = frozenset("package import func type var const return go defer case if for switch select range else chan map struct interface goto break continue default".split())
+    if fault := _operands(solid, False):
+        return fault
     # Names are followed by types, so only other pairs are out of place.
     for (k1, t1, _), (k2, t2, at) in zip(tokens, tokens[1:]):
         if k1 in ("num", "str") and k2 in ("num", "str", "word"):
@@ -273,6 +377,15 @@ def _go(text: str) -> Fault | None:
     return None
 
 
+def _java_methods(solid: list[tuple[str, str, int]]) -> frozenset[str]:
+    """Types with which methods of an unnamed class begin: ``void`` and its like, or a name in capitals, before a name and ``(``."""
+    found = set()
+    for (k1, t1, _), (k2, _, _), (_, t3, _) in zip(solid, solid[1:], solid[2:]):
+        if k1 == k2 == "word" and t3 == "(" and (t1 in ("void", "int", "long", "boolean", "double", "char", "byte", "short", "float") or t1[0].isupper()):
+            found.add(t1)
+    return frozenset(found)
+
+
 def _java(text: str) -> Fault | None:
     tokens, fault = _braced(text, "java")
     if fault:
@@ -280,11 +393,13 @@ def _java(text: str) -> Fault | None:
     solid = [t for t in tokens if t[0] != "nl"]
     if not solid:
         return None
-    fault = _top(tokens, _JAVA_TOP, False)
+    fault = _top(tokens, _JAVA_TOP | _java_methods(solid), False)
     if fault:
         return fault
     if solid[-1][1] not in ("}", ";"):
         return ("premature end", solid[-1][2])
+    if fault := _operands(solid, True):
+        return fault
     for i, (_, t, at) in enumerate(solid):
         if t in ("package", "import") and (i == 0 or solid[i - 1][1] in (";", "}")):
             j = i + 1
@@ -320,6 +435,12 @@ def _rust(text: str) -> Fault | None:
             start = True
     if solid[-1][1] not in ("}", ";", "]", ")"):
         return ("premature end", solid[-1][2])
+    if fault := _operands(solid, False):
+        return fault
+    lead = frozenset("return in if match while break else yield loop move unsafe await dyn where and or".split())
+    for (k1, t1, _), (k2, _, at) in zip(solid, solid[1:]):
+        if k1 == "word" and k2 == "num" and t1 not in lead:
+            return ("misplaced word", at)
     if solid[-1][1] in (")", "]") and not _attribute(solid, len(solid) - 1):
         return ("premature end", solid[-1][2])
     return None
@@ -415,6 +536,31 @@ _RB_VALUE_WORDS = frozenset("if unless while until and or not then do else elsif
 _RB_REGEX = re.compile(r"/(?:[^/\\\n]|\\.)+/[a-z]*")
 
 
+def _interpolated(text: str, at: int) -> int:
+    """The offset after a string that starts at ``at`` and may hold code in ``#{}``, or -1; a stack holds what is open."""
+    open_, i, n = [text[at]], at + 1, len(text)
+    while i < n:
+        c, inner = text[i], open_[-1]
+        if inner in "\"`":
+            if c == "\\":
+                i += 1
+            elif c == inner:
+                open_.pop()
+                if not open_:
+                    return i + 1
+            elif text.startswith("#{", i):
+                open_.append("{")
+                i += 1
+        elif c in "\"`{":
+            open_.append(c)
+        elif c == "}":
+            open_.pop()
+        elif c == "'" and (m := re.compile(_SQ).match(text, i)):
+            i = m.end() - 1
+        i += 1
+    return -1
+
+
 def _ruby(text: str) -> Fault | None:
     """``def``, ``do`` and their like are opened on the stack and closed by ``end``."""
     conflicts, i, n = _starts(text), 0, len(text)
@@ -455,8 +601,11 @@ def _ruby(text: str) -> Fault | None:
             if not (prev[0] == "op" and prev[1] in (",", ".", "&&", "||", "+", "=")):
                 prev = ("nl", piece)
             continue
-        if kind == "bad":
-            return ("unterminated literal", at)
+        if kind == "bad" or (kind == "str" and piece[0] in '"`'):
+            end = _interpolated(text, at)
+            if end < 0:
+                return ("unterminated literal", at)
+            kind, i = "str", end
         if kind == "odd" and piece != "﻿":
             return ("stray character", at)
         operand = kind in ("word", "num", "str", "sym")
@@ -486,6 +635,8 @@ def _ruby(text: str) -> Fault | None:
             elif piece == "end":
                 if not stack or stack[-1][0] in "([{":
                     return ("unbalanced", at)
+                if prev[0] == "op" and prev[1] in ("+", "-", "*", "/", "=", "==", "&&", "||", "<<"):
+                    return ("misplaced operator", at)
                 stack.pop()
         # ``def name = value`` has no end.
         if kind == "op" and piece == "=" and stack and stack[-1][0] == "def" and re.match(r"def\s+[\w.]+[?!]?\s*(\([^)]*\))?\s*$", text[stack[-1][1] : at]):
@@ -737,6 +888,15 @@ class _Shell:
                 if word in ("for", "while", "until", "select"):
                     stack.append(("do", at, False))
                     command, words, loop_words = word in ("while", "until"), 0, True
+                    if word == "for" and (m := re.compile(r"\s*\(\(").match(t, i)):
+                        depth, i = 0, m.end() - 2
+                        while i < self.n:
+                            depth += (t[i] == "(") - (t[i] == ")")
+                            i += 1
+                            if not depth:
+                                break
+                        if depth:
+                            raise _Stop("premature end", at)
                     continue
                 if word in ("then", "else", "elif"):
                     if not stack or stack[-1][0] != "fi":
@@ -760,7 +920,8 @@ class _Shell:
             self.before = word if command else ""
             assignment = command and "=" in word
             command = command and assignment
-            words += not assignment
+            # An assignment is no command's name, but not nothing either.
+            words += 0.5 if assignment else 1
 
     before = ""
 
@@ -778,7 +939,8 @@ def _shell(text: str) -> Fault | None:
     except _Stop as e:
         return (e.args[0], e.args[1])
     except RecursionError:
-        return ("premature end", len(text))
+        # Deeper than can be followed: nothing shows that it is faulty.
+        return None
     return None
 
 
