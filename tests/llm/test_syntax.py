@@ -82,7 +82,7 @@ def test_operator(spark):
 
 
 # Everyday code that was taken for faulty, and faults inside of statements.
-VALID = [
+EVERYDAY = [
     ('bash','x=1; echo $x\n'),
     ('bash','IFS=,; read a b\n'),
     ('bash','a=(1 2); b=3\n'),
@@ -102,7 +102,7 @@ VALID = [
     ('rust','fn f() { let x = *p + *q; for i in 0..=5 {} let c = || 5; g(|a| a, ||{}); }\n'),
     ('bash','if [ $x = 1 ]; then y=2; fi\nx=1 cmd; a=b c=d; f() { x=1; }\n'),
 ]
-INVALID = [
+INSIDE = [
     ('javascript','let x = ;\n'),
     ('javascript','const x = 5 +* 3\n'),
     ('java','class A { int f() { return 1 +; } }\n'),
@@ -117,12 +117,12 @@ INVALID = [
 ]
 
 
-@pytest.mark.parametrize(("language", "text"), VALID)
+@pytest.mark.parametrize(("language", "text"), EVERYDAY)
 def test_everyday_code_is_valid(language, text):
     assert check(text, language) is None
 
 
-@pytest.mark.parametrize(("language", "text"), INVALID)
+@pytest.mark.parametrize(("language", "text"), INSIDE)
 def test_faults_inside_statements(language, text):
     assert check(text, language)
 
