@@ -89,3 +89,32 @@ def test_object_that_is_interrupted_starts_no_entry(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], S)
     assert parse_lines(empty).count() == 0 and log_entries(empty).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ("2024-01-01T00:00:00Z ERROR [main] com.foo.Bar - it failed", ("entry", 1704067200000, "ERROR", "com.foo.Bar", "it failed")),
+        ("2024-01-01 00:00:00,5 [http-nio-8080] WARN com.foo.Bar - slow", ("entry", 1704067200500, "WARN", "com.foo.Bar", "slow")),
+        ("2024-01-01 00:00:00,123 - app.core - INFO - started", ("entry", 1704067200123, "INFO", "app.core", "started")),
+        ("<34>1 2024-01-01T00:00:00.003Z host.x su 77 ID47 - done", ("entry", 1704067200003, "FATAL", "su", "- done")),
+        ('{"ts": 1704067200, "level": "info", "logger": "a", "x": null, "y": 1.5, "z": [1, "b", -2.25]}', ("entry", 1704067200000, "INFO", "a", None)),
+        ("ts=1704067200 level=info caller=main.go:12 msg=hi", ("entry", 1704067200000, "INFO", "main.go", "hi")),
+        ("\tat com.foo.Bar.baz(Bar.java:12)", ("frame", None, None, None, None)), ("Caused by: x", ("frame", None, None, None, None)),
+        ('  File "a.py", line 3, in f', ("frame", None, None, None, None)), ("\t... 12 more", ("frame", None, None, None, None)),
+        ("  more text", ("indented", None, None, None, None)), ("plain text", ("rest", None, None, None, None)),
+    ],
+)
+def test_more_layouts(raw, want):
+    from weftline.functions.logformats import LineParser
+
+    assert LineParser().parse(raw, 2024)[:5] == want
+
+
+def test_a_layout_of_ones_own(spark):
+    from weftline.operators.loglines import log_entries
+
+    lines = spark.createDataFrame([("l", 1, "2024-01-01T00:00:00Z ; core ; WARN ; slow", None)], "log_name string, line_no long, raw string, captured_at timestamp")
+    assert log_entries(lines).count() == 0
+    own = (("plain", ("stamp", "WS", "OTHER", "WS", "comp", "WS", "OTHER", "WS", "level", "WS", "OTHER"), 0),)
+    assert [(r.level, r.component, r.message) for r in log_entries(lines, rules=own).collect()] == [("WARN", "core", "slow")]

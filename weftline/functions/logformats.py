@@ -16,8 +16,12 @@ LEVELS = {
 LETTERS = {"D": "DEBUG", "I": "INFO", "W": "WARN", "E": "ERROR", "F": "FATAL", "C": "FATAL"}
 KEYS = {
     "ts": "TIMEKEY", "time": "TIMEKEY", "timestamp": "TIMEKEY", "@timestamp": "TIMEKEY", "level": "LEVELKEY", "lvl": "LEVELKEY", "severity": "LEVELKEY",
-    "component": "COMPKEY", "logger": "COMPKEY", "msg": "MSGKEY", "message": "MSGKEY",
+    "component": "COMPKEY", "logger": "COMPKEY", "caller": "COMPKEY", "msg": "MSGKEY", "message": "MSGKEY",
 }
+#: Words by which lines below an entry are known.
+BELOW = {"at": "AT", "caused": "CAUSED", "by": "BY", "traceback": "TRACEBACK", "file": "FILE", "line": "LINE", "more": "MORE"}
+#: Fixed value: the levels of the eight severities of a syslog priority.
+SEVERITIES = ("FATAL", "FATAL", "FATAL", "ERROR", "WARN", "INFO", "INFO", "DEBUG")
 MONTHS = {m: i for i, m in enumerate("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split(), 1)}
 
 _TOKEN = re.compile(
@@ -53,6 +57,8 @@ def _classes(kind: str, text: str) -> tuple[str, ...]:
             out.append("LEVEL")
         if text.lower() in KEYS:
             out.append(KEYS[text.lower()])
+        if text.lower() in BELOW:
+            out.append(BELOW[text.lower()])
         if text in MONTHS:
             out.append("MONTH")
         if text.isupper():
@@ -90,6 +96,23 @@ RULES: list[Rule] = [
     ("plain", ("dated", "WS", "NAME", "WS", "comp", "[", "INT", "]", ":", "WS", "level", ":"), 0),
     ("plain", ("dated", "WS", "NAME", "WS", "comp", ":", "WS", "level", ":"), 0),
     ("plain", ("level", "WS", "stamp", "WS", "comp", "WS", "-"), 0),
+    ("plain", ("stamp", "WS", "level", "WS", "[", "NAME", "]", "WS", "comp", "WS", "-"), 0),
+    ("plain", ("stamp", "WS", "[", "NAME", "]", "WS", "level", "WS", "comp", "WS", "-"), 0),
+    ("plain", ("stamp", "WS", "-", "WS", "comp", "WS", "-", "WS", "level", "WS", "-"), 0),
+    ("plain", ("OTHER", "priority", "OTHER", "INT", "WS", "stamp", "WS", "label", "WS", "comp", "WS", "label", "WS", "label"), 0),
+    ("priority", ("INT",), 0),
+    ("label", ("NAME",), 0),
+    ("label", ("INT",), 0),
+    ("label", ("-",), 0),
+    # Lines below an entry: what traces consist of, and anything indented.
+    ("line", ("frame",), 0.5),
+    ("line", ("indented",), 0),
+    ("frame", ("WS", "AT", "WS", "NAME"), 0),
+    ("frame", ("CAUSED", "WS", "BY", ":"), 0),
+    ("frame", ("TRACEBACK", "WS", "("), 0),
+    ("frame", ("WS", "FILE", "WS", "STRING", ",", "WS", "LINE", "WS", "INT"), 0),
+    ("frame", ("WS", "OTHER", "OTHER", "OTHER", "WS", "INT", "WS", "MORE"), 0),
+    ("indented", ("WS",), 0),
     ("short", ("SHORT",), 0),
     ("dated", ("stamp",), 0),
     ("dated", ("MONTH", "WS", "INT", "WS", "TIME"), 0),
@@ -112,6 +135,7 @@ RULES: list[Rule] = [
     ("pair", ("LEVELKEY", "=", "qlevel"), 2),
     ("pair", ("COMPKEY", "=", "comp"), 2),
     ("pair", ("COMPKEY", "=", "qcomp"), 2),
+    ("pair", ("COMPKEY", "=", "comp", ":", "INT"), 2),
     ("pair", ("MSGKEY", "=", "qmsg"), 2),
     ("pair", ("MSGKEY", "=", "msg"), 1),
     ("pair", ("NAME", "=", "value"), 0.5),
@@ -141,6 +165,8 @@ RULES: list[Rule] = [
     ("json", ("number",), 0),
     ("number", ("INT",), 0),
     ("number", ("-", "INT"), 0),
+    ("number", ("INT", "OTHER", "INT"), 0),
+    ("number", ("-", "INT", "OTHER", "INT"), 0),
     ("number", ("SECONDS",), 0),
     ("number", ("MILLIS",), 0),
     ("json", ("object",), 0),
@@ -155,8 +181,8 @@ RULES: list[Rule] = [
     ("qmsg", ("STRING",), 0),
 ]
 GRAMMAR = Grammar("line", RULES)
-_FIELDS = {"stamp", "dated", "short", "level", "comp", "phase", "status", "msg", "qstamp", "qlevel", "qcomp", "qmsg"}
-_LAYOUTS = ("marker", "plain", "pairs", "object", "member_line")
+_FIELDS = {"stamp", "dated", "short", "level", "comp", "phase", "status", "msg", "qstamp", "qlevel", "qcomp", "qmsg", "priority"}
+_LAYOUTS = ("marker", "plain", "pairs", "object", "member_line", "frame", "indented")
 
 
 def millis(text: str, year: int) -> int | None:
@@ -202,12 +228,15 @@ class LineParser:
     """Parses lines one by one; equal beginnings of token classes are parsed once.
 
     ``parse`` gives ``(kind, ts_ms, level, component, message, unparsed)``.  ``kind`` is ``entry`` for a line
-    that starts one, ``open``, ``member`` and ``close`` for lines of an object spread over several, else
-    ``rest``.  ``unparsed`` is the number of characters that no rule explains: the message of a plain header
-    line, all of a ``rest`` line.  A member has only the fields that its key names.
+    that starts one, ``open``, ``member`` and ``close`` for lines of an object spread over several; of
+    lines that start no entry those of traces are ``frame``, others with a blank before them ``indented``, else
+    ``rest``.  ``rules`` are further layouts, in the form of ``RULES``.  ``unparsed`` is the number of characters that no rule explains: the message of a plain header
+    line, all of a line that
+    starts no entry.  A member has only the fields that its key names.
     """
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 200_000, rules: tuple[Rule, ...] = ()):
+        self._grammar = Grammar("line", [*RULES, *rules]) if rules else GRAMMAR
         self._known: dict[int, dict[tuple, tuple]] = {}
         self._count, self._limit = 0, limit
 
@@ -257,7 +286,7 @@ class LineParser:
                     yield names[i]
                     i += 1
 
-            seen, spans, end = GRAMMAR.parse(feed())
+            seen, spans, end = self._grammar.parse(feed())
             spans = [s for s in spans or () if s[0] in _FIELDS or s[0] in _LAYOUTS]
             found = (spans, end)
             if self._count < self._limit:
@@ -273,6 +302,8 @@ class LineParser:
         text = lambda a, b: "".join(t.group() for t in tokens[a:b])
         stop = tokens[end - 1].end()
         layout = next((s[0] for s in spans if s[0] in _LAYOUTS), None)
+        if layout in ("frame", "indented"):
+            return (layout, *rest[1:])
         if layout is None or layout == "member_line":
             tail = raw[stop:].strip()
             if tail not in ("", ","):
@@ -298,6 +329,8 @@ class LineParser:
                 comp = piece
             elif name == "qcomp" and comp is None:
                 comp = _unquote(piece)
+            elif name == "priority":
+                level = SEVERITIES[int(piece) % 8]
             elif name == "status":
                 level = piece
             elif name in ("msg", "qmsg") and msg is None:

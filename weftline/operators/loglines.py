@@ -8,6 +8,7 @@ per block passes from block to block.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -21,10 +22,10 @@ BLOCK = 4096
 PARSED = "log_name string, line_no long, kind string, ts_ms long, level string, component string, message string, unparsed int, text string"
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parse(batches: Iterator[pa.RecordBatch], rules: tuple = ()) -> Iterator[pa.RecordBatch]:
     from weftline.functions.logformats import LineParser
 
-    parse = LineParser().parse
+    parse = LineParser(rules=rules).parse
     names = [part.split()[0] for part in PARSED.split(", ")]
     for batch in batches:
         years = batch.column(3).to_pylist()
@@ -36,19 +37,19 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names)
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
+def parse_lines(lines: DataFrame, rules: tuple = ()) -> DataFrame:
     """One parsed row per ``(log_name, line_no)``; see ``logformats.LineParser`` for the columns.
 
-    ``text`` is the whole line without its end.
+    ``text`` is the whole line without its end.  ``rules`` are layouts beyond those of ``logformats.RULES``.
     Repeated lines count once; of different texts for one line the smallest counts.  Rows with a null log or
     line number are left out, a null text is an empty line.  Without ``captured_at`` the year is 1970.
     """
     once = lines.where("log_name is not null and line_no is not null").groupBy("log_name", "line_no").agg(F.min(F.struct("raw", "captured_at")).alias("s"))
     year = F.coalesce(F.year("s.captured_at"), F.lit(1970)).cast("int")
-    return once.select("log_name", "line_no", F.col("s.raw").alias("raw"), year.alias("year")).mapInArrow(_parse, PARSED)
+    return once.select("log_name", "line_no", F.col("s.raw").alias("raw"), year.alias("year")).mapInArrow(partial(_parse, rules=rules), PARSED)
 
 
-def log_entries(lines: DataFrame, block: int = BLOCK) -> DataFrame:
+def log_entries(lines: DataFrame, block: int = BLOCK, rules: tuple = ()) -> DataFrame:
     """Entries ``(log_name, line_no, last_line, ts_ms, level, component, message)``.
 
     A line that starts no entry belongs to the entry above it, up to the line before the next entry; lines
@@ -57,19 +58,20 @@ def log_entries(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     ``message`` is that of the entry's first line or object; ``whole_entries`` has the lines below it too.
     """
     # Several steps read the parsed lines; they are parsed once and written without their raw text.
-    return _assemble(cut(_blocked(parse_lines(lines).drop("text"), block)), block).drop("head_line")
+    return _assemble(cut(_blocked(parse_lines(lines, rules).drop("text"), block)), block).drop("head_line")
 
 
-def whole_entries(lines: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``log_entries`` with the text of all their lines: ``message`` and ``unparsed``.
+def whole_entries(lines: DataFrame, block: int = BLOCK, rules: tuple = ()) -> DataFrame:
+    """``log_entries`` with the text of all their lines: ``message``, ``unparsed`` and ``below``.
 
     The lines below the first line, or below the object that starts the entry, are appended to ``message`` in
     line order, each after a line feed, with their indentation and without colour codes; blank lines too.  Of
     the object itself the member named as message counts, as in an object on one line.  ``unparsed`` are the
     spans ``(line_no, start, stop, text)`` that no rule of the grammar explains, in line order: characters
     ``start`` to ``stop``, from 0 and without ``stop``, of the line without its end.
+    ``below`` has ``(line_no, kind)`` of the lines below that a rule for traces or indented text knows.
     """
-    parsed = cut(_blocked(parse_lines(lines), block))
+    parsed = cut(_blocked(parse_lines(lines, rules), block))
     heads = cut(_assemble(parsed, block))
     # The entry of each line: the last one that starts in its block up to it, else in an earlier block.
     starts = heads.select("log_name", F.col("line_no").alias("start"), "head_line").withColumn("head", F.struct("start", "head_line"))
@@ -91,6 +93,7 @@ def whole_entries(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     texts = held.groupBy("log_name", F.col("own.start").alias("line_no")).agg(
         F.sort_array(F.collect_list(F.when(below, F.struct("line_no", plain.alias("text"))))).alias("more"),
         F.sort_array(F.collect_list(F.when(F.col("first") < size, span))).alias("unparsed"),
+        F.sort_array(F.collect_list(F.when(below & F.col("kind").isin("frame", "indented"), F.struct("line_no", "kind")))).alias("below"),
     )
     out = heads.drop("head_line").join(texts, ["log_name", "line_no"])
     message = F.when(F.size("more") == 0, F.col("message")).otherwise(F.array_join(F.concat(F.array(F.coalesce("message", F.lit(""))), F.col("more.text")), "\n"))
@@ -150,5 +153,5 @@ def markers(entries: DataFrame) -> DataFrame:
     last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: key(y) == key(x)))
     payload = F.map_from_entries(F.transform(last, lambda x: F.struct(key(x).alias("k"), F.regexp_replace(x, r"^[^=]*=", "").alias("v"))))
     return entries.where(F.col("component").startswith("PHASE_")).select(
-        "log_name", "line_no", "ts_ms", F.substring("component", 7, 100).alias("phase_id"), F.col("level").alias("status"), payload.alias("payload")
+        "log_name", "line_no", "ts_ms", F.expr("substring(component, 7)").alias("phase_id"), F.col("level").alias("status"), payload.alias("payload")
     )

@@ -51,4 +51,11 @@ m as (select log_name, max(line_no) as stop from d group by 1),
 entries as (select n.log_name, n.line_no, coalesce(lead(n.line_no) over (partition by n.log_name order by n.line_no) - 1, m.stop) as last_line, n.ts_ms, n.level, n.component from n join m using (log_name))"""
 )
 
-SQL = {"p4_found": ENTRIES + " select * from entries"}
+_PAYLOAD = rf"""select e.log_name, e.line_no, trim(regexp_extract(c.c, '{LAYOUTS[0][0].split("(?:")[0]} +[—–-]+(.*)$', 6)) as body from entries e join c using (log_name, line_no) where e.component like 'PHASE_%'"""
+SQL = {
+    "p4_found": ENTRIES + " select * from entries",
+    "p4_phases": ENTRIES + " select log_name, line_no, ts_ms, substr(component, 7) as phase_id, level as status from entries where component like 'PHASE_%'",
+    "p4_payload": ENTRIES
+    + f""", bodies as ({_PAYLOAD}), parts as (select log_name, line_no, unnest(regexp_split_to_array(body, '\\s+')) as w, generate_subscripts(regexp_split_to_array(body, '\\s+'), 1) as i from bodies)
+    select log_name, line_no, regexp_extract(w, '^([^=]*)=', 1) as field, arg_max(regexp_extract(w, '^[^=]*=(.*)$', 1), i) as value from parts where contains(w, '=') group by 1, 2, 3""",
+}

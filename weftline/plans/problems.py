@@ -64,6 +64,16 @@ def p4_markers(spark: SparkSession, d: str) -> DataFrame:
     return markers(log_entries(table(spark, d, "log_lines")))
 
 
+def p4_phases(spark: SparkSession, d: str) -> DataFrame:
+    """Phase markers with phase and status."""
+    return p4_markers(spark, d).drop("payload")
+
+
+def p4_payload(spark: SparkSession, d: str) -> DataFrame:
+    """The fields of the payloads of phase markers, one a row."""
+    return p4_markers(spark, d).select("log_name", "line_no", F.explode("payload").alias("field", "value"))
+
+
 # SQL of the same problems. A symbol's parent as TESTDATA states it, then a walk down from the roots; symbols that the
 # walk misses follow their parents until nothing new appears.
 _PARENTS = r"""with recursive s as (select id, min(file_id) as file_id, min(nullif(regexp_extract(scip_id, '^\S* [^#]*? .[^#]*#(.*)$', 1), '')) as k, min(parent_id) as p from symbols where id is not null group by 1),
@@ -95,4 +105,4 @@ SQL: dict[str, str] = {
     r as (select repo, path, sha, dead, row_number() over (partition by repo, path order by v desc, s desc, dead, sha desc) as i from o)
     select repo, path, sha as content_sha from r where i = 1 and not dead""",
 }
-QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p1_below, p1_counts, p3_found, p4_found, p4_entries, p4_markers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p1_below, p1_counts, p3_found, p4_found, p4_entries, p4_markers, p4_phases, p4_payload)}
