@@ -10,11 +10,14 @@ import json
 import re
 import sys
 from collections.abc import Callable
+from datetime import UTC, datetime
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.operators import relational
+from weftline.operators.context import ranked_symbols
 from weftline.operators.graph import shortest_path
 from weftline.sources.snapshots import SnapshotStore
 
@@ -57,7 +60,7 @@ def fit(rows: list[dict], budget: int) -> tuple[list[dict], bool]:
 
 def _chain(t: dict[str, DataFrame], source: str, target: str, max_depth: int = 5) -> DataFrame:
     ends = lambda n: t["symbols"].where(t["symbols"]["name"] == n)
-    return shortest_path(t["edges"], ends(source), ends(target), max_depth)
+    return shortest_path(t["edges"].where("kind = 'call'"), ends(source), ends(target), max_depth)
 
 
 TOOLS: dict[str, Callable[..., DataFrame]] = {
@@ -68,9 +71,11 @@ TOOLS: dict[str, Callable[..., DataFrame]] = {
     "search_symbols": lambda t, query: relational.search_symbols(t["symbols"], t["files"], query).orderBy("rank", "name", "file", "line"),
     "file_summary": lambda t, path: relational.file_summary(t["symbols"], t["files"], path).orderBy("line", "id"),
     "co_changes": lambda t, path: relational.co_changes(t["files"], t["symbols"], t["edges"], t["commit_files"], path, exclude=("CHANGELOG.md", "README.md")),
-    "owners": lambda t, path: relational.owners(t["ownership"], t["files"], path),
-    "symbol_history": lambda t, name: relational.symbol_history(t["symbols"], t["files"], t["commits"], t["commit_files"], name),
-    "layers": lambda t: relational.layers(t["edges"], t["symbols"], t["files"]),
+    "owners": lambda t, path: relational.owners(t["ownership"], t["files"], path).orderBy(F.desc("percentage"), "author"),
+    "symbol_history": lambda t, name: relational.symbol_history(t["symbols"], t["files"], t["commits"], t["commit_files"], name).orderBy("path"),
+    "layers": lambda t: relational.layers(t["edges"], t["symbols"], t["files"]).orderBy(F.desc("in_degree"), "path"),
+    "hot_spots": lambda t, window_days=90, top_n=10: relational.hot_spots(t["files"], t["symbols"], t["commits"], t["commit_files"], datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S"), int(window_days), int(top_n)),
+    "intel": lambda t: ranked_symbols(t["symbols"], t["files"], t["edges"]).orderBy("pos"),
     "status": lambda t: relational.status_counts(t["files"], t["symbols"], t["edges"]),
 }
 #: How each parameter is checked before any relation is read.

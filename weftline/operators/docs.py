@@ -6,6 +6,8 @@ fields are read, so that quoted examples don't count.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +94,18 @@ def non_canonical(docs: DataFrame) -> DataFrame:
     return lines(docs).where(F.col("line").rlike(tolerant) & ~F.col("line").rlike(strict))
 
 
+#: The one form in which milestone and step headings are to be written.
+CANONICAL_HEADING = r"^(?:## Milestone \d+: \S.*|### Sub-step \d+\.\d+: \S.*)$"
+
+
+def heading_lint(docs: DataFrame) -> DataFrame:
+    """``(doc_id, pos, line)`` of headings that the tolerant reader takes for a milestone or step but that aren't in the one form.
+
+    Other headings are none of its business.
+    """
+    return lines(docs).where(F.col("line").rlike(HEADING) & ~F.col("line").rlike(CANONICAL_HEADING)).select("doc_id", "pos", F.trim("line").alias("line"))
+
+
 def plan_items(docs: DataFrame) -> DataFrame:
     """``(doc_id, pos, kind, number, title, status, milestone)``: headings with the status of their block.
 
@@ -173,15 +187,16 @@ OBSERVABLE = {
 CONDITION_LIMIT, LEAST_OBSERVABLE, TURN_CEILING = 4000, 2, 30
 
 
-def validate_conditions(conditions: DataFrame, turn_cap: int = TURN_CEILING) -> DataFrame:
+def validate_conditions(conditions: DataFrame, turn_cap: int = TURN_CEILING, footer: str = OBSERVABLE["commit_footer"][0]) -> DataFrame:
     """``(id, ok, reason, artifacts)`` of ``conditions(id, text)``; the first failing stage names the reason.
 
     Stages: the turn cap is from 1 to 30, the text is short enough, holds no vague word, and names things of at
-    least two observable classes.  A null text is an empty one.
+    least two observable classes.  A null text is an empty one.  ``footer`` is the pattern of the footer of commits;
+    a project gives its own, as the default takes any that ends in ``Plan``.
     """
     t = F.coalesce("text", F.lit(""))
     one = lambda rxs: F.greatest(*[t.rlike(r) for r in rxs], F.lit(False))
-    artifacts = F.array_compact(F.array(*[F.when(one(rxs), F.lit(name)) for name, rxs in OBSERVABLE.items()]))
+    artifacts = F.array_compact(F.array(*[F.when(one(rxs), F.lit(name)) for name, rxs in ({**OBSERVABLE, "commit_footer": [footer, *OBSERVABLE["commit_footer"][1:]]}).items()]))
     reason = (
         F.when(F.lit(not 1 <= turn_cap <= TURN_CEILING), "turn_cap_out_of_range").when(F.length(t) > CONDITION_LIMIT, "condition_too_long")
         .when(t.rlike(r"(?i)\b(" + "|".join(VAGUE) + r")\b"), "condition_too_vague").when(F.size(artifacts) < LEAST_OBSERVABLE, "observable_artifacts_insufficient")
@@ -196,6 +211,54 @@ def version_drift(docs: DataFrame, canonical: str, keyword: str) -> DataFrame:
     return hit.select("doc_id", "pos", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(rx), F.lit(0)))).alias("version")).where(F.col("version") != canonical)
 
 
+def version_mentions(docs: DataFrame, canonical: str, keywords: tuple[str, ...] = ("version",), width: int = 40) -> DataFrame:
+    """``(doc_id, pos, version)``: other versions than the canonical one with a keyword within ``width`` characters before or behind.
+
+    ``pos`` is the line; the window ends with the line.  Repeated mentions on a line come out once.
+    """
+    rx = r"(?<![\d.])\b\d++\.\d++\.\d++(?:[.\-][A-Za-z0-9]++|[A-Za-z]++\d*+)?+"
+    near = [p for k in keywords for p in (rf"(?<=(?i:{re.escape(k)}).{{0,{width - len(k)}}}){rx}", rf"{rx}(?=.{{0,{width - len(k)}}}(?i:{re.escape(k)}))")]
+    found = F.regexp_extract_all("line", F.lit("|".join(near)), F.lit(0))
+    return lines(docs, fences=True).select("doc_id", "pos", F.explode(F.array_distinct(found)).alias("version")).where(F.col("version") != canonical)
+
+
+def changelog_gap(commits: DataFrame, commit_files: DataFrame, prefixes: tuple[str, ...], changelog: str | None = None) -> DataFrame:
+    """``(repo, n_commits)``: per repository the features and fixes that touch a path under one of the prefixes.
+
+    ``commits(sha, repo, message)`` are those since the last release.  None come out if ``changelog`` has a section for
+    what isn't released, as then they are taken for noted.
+    """
+    noted = bool(changelog) and any(w in changelog.lower() for w in ("unreleased", "upcoming"))
+    under = F.lit(False)
+    for p in prefixes:
+        under = under | F.col("path").startswith(p)
+    touched = commit_files.where(under).select("sha").distinct()
+    rows = commits.where(F.col("message").rlike(r"(?i)^(?:feat|fix)(?:\([^)]*\))?:|^BREAKING CHANGE") & F.lit(not noted)).select("sha", "repo").distinct()
+    return rows.join(touched, "sha", "left_semi").groupBy("repo").agg(F.count("*").alias("n_commits"))
+
+
+#: What added lines must not hold, and what shows that a secret is none.
+ADDED_RISKS = {
+    "secret": r"(?i)(api[_-]?key|apikey|token|password|secret)\s*=\s*[\"'][^\"']{8,}[\"']",
+    "shell_injection": r"subprocess\.[a-zA-Z_]+\([^)]*shell\s*=\s*True",
+    "dynamic_code": r"(^|[^a-zA-Z_.])(eval|exec)\s*\(",
+    "path_traversal": r"(open|Path)\s*\([^)]*\.\./",
+    "sql_fstring": r"\.execute\s*\(\s*f[\"']",
+    "sql_concatenation": r"\.execute\s*\(\s*[\"'][^\"']*[\"']\s*\+",
+    "unsafe_deserialisation": r"(^|[^a-zA-Z_])c?pickle\.loads\s*\(",
+}
+NO_SECRET = r"your-|<[A-Z_]+>|xxxx|os\.environ|os\.getenv|\$\{[A-Z_]+\}|\$[A-Z_]+"
+
+
+def diff_risks(added: DataFrame) -> DataFrame:
+    """``(file, line_no, risk)`` of added lines ``(file, line_no, text)``, as ``sources.git.added_lines`` gives them, of Python files.
+
+    A line may belong to several classes; a secret that is read from the environment or holds a place is none.
+    """
+    hits = [F.when(F.col("text").rlike(rx) & (~F.col("text").rlike(NO_SECRET) if name == "secret" else F.lit(True)), F.lit(name)) for name, rx in ADDED_RISKS.items()]
+    return added.where("file like '%.py'").select("file", "line_no", F.explode(F.array_compact(F.array(*hits))).alias("risk"))
+
+
 #: Classes of risky text on added lines.
 RISKS = {
     "secret": r"(?i)(api[_-]?key|secret|password|token)\s*[:=]\s*['\"][^'\"]{8,}",

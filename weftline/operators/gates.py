@@ -29,6 +29,32 @@ def dispatch(tasks: DataFrame) -> DataFrame:
     return tasks.select("task", F.explode(F.coalesce(F.try_element_at(table, F.lower("profile")), F.array(*map(F.lit, PROFILES["standard"])))).alias("agent"))
 
 
+#: Which audits a profile runs (of some only the numbered checks), and the reasons that waive tests first.
+AUDITS = ("code-reviewer", "security-auditor", "tdd-sequence", "context7-evidence", "future-proofing")
+AUDIT_PROFILES = {
+    "full": {a: "" for a in AUDITS},
+    "code-only": {a: "" for a in AUDITS},
+    "docs-only": {"future-proofing": "1"},
+    "infra": {"code-reviewer": "", "security-auditor": "", "future-proofing": "1,3"},
+}
+TDD_WAIVERS = ("refactor", "docs-only", "prototype", "hotfix-emergency", "tooling-config")
+
+
+def audit_dispatch(milestones: DataFrame) -> DataFrame:
+    """``(milestone, audit, checks)`` of ``milestones(milestone, profile, run, skip)``; ``checks`` is empty where all are made.
+
+    The profile ``custom`` runs the audits listed in ``run`` less those in ``skip``, lists with commas; without ``run`` all
+    but those in ``skip``.  A null profile, or one that isn't known, gives no rows: it is for ``enum_field`` to report.
+    """
+    plans = [F.when(F.lower(F.trim("profile")) == name, F.array(*[F.struct(F.lit(a).alias("audit"), F.lit(c).alias("checks")) for a, c in audits.items()])) for name, audits in AUDIT_PROFILES.items()]
+    words = lambda c: F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x))
+    every = F.array(*map(F.lit, AUDITS))
+    named = F.when(F.trim(F.coalesce("run", F.lit(""))) == "", every).otherwise(F.array_intersect(every, words("run")))
+    own = F.transform(F.array_except(named, words("skip")), lambda a: F.struct(a.alias("audit"), F.lit("").alias("checks")))
+    chosen = F.coalesce(*plans, F.when(F.lower(F.trim("profile")) == "custom", own))
+    return milestones.select("milestone", F.explode(chosen).alias("a")).select("milestone", "a.audit", "a.checks")
+
+
 def scope_counts(paths: DataFrame, by: str) -> DataFrame:
     """``(by, total, py, sh)``: changed files by ending."""
     count = lambda e: F.count(F.when(F.col("path").endswith(e), 1))

@@ -19,7 +19,8 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, upstream: bool = F
     """
     near, far = ("dst", "src") if upstream else ("src", "dst")
     # Edges aren't made distinct first: that would shuffle all of them, where only those at the frontier matter.
-    step = edges.where("src is not null and dst is not null").select(F.col(near).alias("at"), F.col(far).alias("to"))
+    # They are written once, as every round reads them and what makes them may be dear.
+    step = cut(edges.where("src is not null and dst is not null").select(F.col(near).alias("at"), F.col(far).alias("to")))
     frontier = seeds.select(F.col("id").alias("at")).distinct()
     seen: DataFrame | None = None
     for depth in range(1, max(1, max_depth) + 1):
@@ -31,6 +32,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, upstream: bool = F
         frontier = new.select(F.col("id").alias("at"))
         if depth < max_depth and new.isEmpty():
             break
+    drop(step)
     return seen
 
 
@@ -44,7 +46,7 @@ def shortest_path(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_
     frontier = sources.select("id", F.array(F.col("id")).alias("path")).distinct()
     best = lambda df: df.groupBy("id").agg(F.min("path").alias("path"))
     seen = frontier.select("id")
-    step = edges.where("src is not null and dst is not null").select("src", "dst")
+    step = cut(edges.where("src is not null and dst is not null").select("src", "dst"))
     for depth in range(max_depth + 1):
         hit = frontier.join(ends, "id", "left_semi").agg(F.min("path").alias("path")).where("path is not null")
         if depth == max_depth or not hit.isEmpty():

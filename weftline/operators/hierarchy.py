@@ -41,7 +41,8 @@ def resolve_parents(df: DataFrame, id_col: str, parent_col: str, group_col: str
         none = rows.where("p is null").select("id", F.lit(None).cast("long").alias("parent"))
         return found.unionByName(lost).unionByName(none)
     open_rows = linked.where("pid is null").select("id", "g", "pre").unionByName(rows.where("p is null").select("id", "g", "pre"))
-    keys = rows.where("k is not null and g is not null").select(F.col("g").alias("kg"), "k", F.col("id").alias("kid"))
+    # One row per key, so that many rows of one key don't meet many that look for it.
+    keys = rows.where("k is not null and g is not null").groupBy(F.col("g").alias("kg"), "k").agg(F.min("id").alias("kid"))
     by_key = (
         open_rows.join(keys, (F.col("g") == F.col("kg")) & (F.col("pre") == F.col("k")), "left_outer")
         .groupBy("id")

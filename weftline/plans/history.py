@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.paths import canonical_path
@@ -204,7 +204,10 @@ def _ranked(spark, d) -> DataFrame:
     """Per repository its ten most changed file names, and every pair of repositories; repositories are few."""
     leaf = F.regexp_extract(F.coalesce("path", F.lit("")), r"[^/]*$", 0).alias("leaf")
     counts = history(spark, d).select("sha", "repo").join(history_files(spark, d), "sha").groupBy("repo", leaf).agg(F.count_distinct("sha").alias("n"))
-    top = counts.groupBy("repo").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "leaf"))), 1, 10).alias("x"))
+    # Ten rows per repository are chosen before they are put together.
+    first = Window.partitionBy("repo").orderBy(F.desc("n"), "leaf")
+    counts = counts.withColumn("k", F.row_number().over(first)).where("k <= 10")
+    top = counts.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("k", "leaf"))).alias("x"))
     lists = top.select("repo", F.transform("x", lambda v: v["leaf"]).alias("x"))
     other = lists.select(F.col("repo").alias("repo_b"), F.col("x").alias("t"))
     return lists.select(F.col("repo").alias("repo_a"), F.col("x").alias("s")).join(other, F.col("repo_a") < F.col("repo_b"))
@@ -349,5 +352,6 @@ def python_symbols(spark, d) -> DataFrame:
     """Symbols, calls and imports of all Python sources."""
     from weftline.sources.python_source import parse_python
 
-    files = table(spark, d, "files").where("path like '%.py'").select(F.col("id").alias("file_id")).distinct()
-    return parse_python(table(spark, d, "file_contents").dropDuplicates(["file_id"]).join(files, "file_id", "left_semi"))
+    files = table(spark, d, "files").where("lower(path) like '%.py'").select(F.col("id").alias("file_id")).distinct()
+    texts = table(spark, d, "file_contents").groupBy("file_id").agg(F.min("content").alias("content"))
+    return parse_python(texts.join(files, "file_id", "left_semi"))
