@@ -81,7 +81,7 @@ def test_cross_file_edges_and_parents(spark):
     assert set(_named(symbols, edges)) == {("run", "helper", None), ("main", "helper", None), ("main", "init", None), ("main", None, "getcwd"), ("main", None, "x"), ("o", "Tool", None)}
     by = {r.name: r for r in symbols.collect()}
     assert by["run"].parent_id == by["Tool"].id and by["Tool"].parent_id is None
-    assert by["run"].scip_id == "codemem . .src/pkg/util.py#Tool.run" and by["Tool"].scip_id == "codemem . #src/pkg/util.py#Tool" and by["o"].scip_id == "codemem . /other.py#o"
+    assert by["run"].scip_id == "code . .src/pkg/util.py#Tool.run" and by["Tool"].scip_id == "code . #src/pkg/util.py#Tool" and by["o"].scip_id == "code . /other.py#o"
     # Without the other files the calls stay open; a name in another repository isn't found.
     assert ("main", None, "helper") in _named(*build_index(parsed))
     apart = disk.select("id", "path", F.when(F.col("id") == 4, "b").otherwise("a").alias("repo"))

@@ -118,13 +118,13 @@ def modules(files: DataFrame) -> DataFrame:
     return files.where("path like '%.py' and id is not null").select(scope.alias("scope"), F.explode(names).alias("module"), F.col("id").alias("file")).distinct()
 
 
-def build_index(parsed: DataFrame, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def build_index(parsed: DataFrame, files: DataFrame | None = None, scheme: str = "code") -> tuple[DataFrame, DataFrame]:
     """``symbols(id, file_id, name, kind, line, signature, docstring, parent_id)`` and ``edges(src, dst, dst_unresolved, kind)`` of a parse.
 
     A call leads to every callable of that name in its file; else, if ``files(id, path)`` is given, to every
     symbol of that name in the files that its file imports; else it stays unresolved, unless its receiver is unknown.
     Of symbols with one path in a file the last counts.  With ``files`` symbols also have a ``scip_id`` that holds
-    the path of the file.  Ids are hashes of file and path in the file, so they don't depend on the order of files.
+    ``scheme`` and the path of the file.  Ids are hashes of file and path in the file, so they don't depend on the order of files.
     """
     key = lambda name: F.xxhash64("file_id", name)
     # Texts are parsed once: symbols, calls and imports are read from a written table.
@@ -153,7 +153,7 @@ def build_index(parsed: DataFrame, files: DataFrame | None = None) -> tuple[Data
         edges = found.unionByName(open_calls)
         marker = F.when(F.col("kind") == "class", "#").when(F.col("kind").endswith("method"), ".").otherwise("/")
         where = files.groupBy(F.col("id").alias("file_id")).agg(F.min("path").alias("path"))
-        symbols = symbols.join(where, "file_id", "left_outer").withColumn("scip_id", F.concat(F.lit("codemem . "), marker, "path", F.lit("#"), "at")).drop("path")
+        symbols = symbols.join(where, "file_id", "left_outer").withColumn("scip_id", F.concat(F.lit(f"{scheme} . "), marker, "path", F.lit("#"), "at")).drop("path")
     edges = edges.select("src", "dst", F.when(F.col("dst").isNull(), F.col("callee")).alias("dst_unresolved"), F.lit("call").alias("kind"))
     return symbols.drop("at"), edges.distinct()
 
